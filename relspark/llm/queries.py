@@ -36,6 +36,18 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixdedup import mark
+
+    return mark(table(spark, sf_dir, "documents"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .treededup import mark
+
+    return mark(table(spark, sf_dir, "documents"))
+
+
 #: A separator that no text encodes to: ``<|endoftext|>`` of the vocabulary.
 SEPARATOR = 50256
 
