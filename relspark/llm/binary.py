@@ -41,11 +41,13 @@ class TokenFiles:
     parts: list[tuple[int, int, int, int, int]]  # part, documents, tokens, documents before, tokens before
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, uri: str | None = None, id_col: str = "doc_id", text_col: str = "text", end: int = END_ID, parts: int | None = None) -> TokenFiles:
+def write_tokens(docs: DataFrame, tokenizer: str, uri: str | None = None, id_col: str = "doc_id", text_col: str = "text", end: int = END_ID, parts: int | None = None, ordered: bool = True) -> TokenFiles:
+    """Writes the files; unless ``ordered``, parts are the input's own partitions and no text is shuffled."""
     spark = docs.sparkSession
     uri = uri or store.fresh(spark, "tokens")
     src = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_t"))
-    src = src.repartitionByRange(partitions(spark, parts), "_id").sortWithinPartitions("_id", "_t")
+    if ordered:
+        src = src.repartitionByRange(partitions(spark, parts), "_id").sortWithinPartitions("_id", "_t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()

@@ -77,11 +77,12 @@ def test_token_files_odd_ids(spark):
     assert [r.n_tokens for r in got] == [1, 2, 1, 2, 3]
 
 
-def test_counts_over_blocks(spark, docs, ids_of):
+@pytest.mark.parametrize("ordered", [True, False])
+def test_counts_over_blocks(spark, docs, ids_of, ordered):
     from relspark.llm.binary import write_tokens
     from relspark.llm.tokencount import scan_counts, with_ids
 
-    files = write_tokens(docs, P.path("byte_bpe_50k.json"), end=50256)
+    files = write_tokens(docs, P.path("byte_bpe_50k.json"), end=50256, ordered=ordered)
     names = [f"{files.uri}/part-{p[0]:06d}" for p in files.parts]
     for block in (7, 64, 1 << 20):
         counts = scan_counts(spark, [f"{n}.bin" for n in names], files.dtype, 50256, block)
