@@ -44,6 +44,8 @@ SHINGLE, NUM, DEN = 5, 80, 100
 PAIRWISE = 12
 #: Bands whose H is at most this use segments of weight 2.
 SMALL_H = 6
+#: Subsets that may be left out, in percent of those that the pigeonhole needs: about as many as are empty at a band's lower end.
+SPARE_PERCENT = 12
 
 
 @dataclass(frozen=True)
@@ -72,7 +74,7 @@ def plan(band: int) -> Plan | None:
         return None  # only equal sets
     if most <= SMALL_H:
         return Plan(-(-(most + 1) // 2), 2, 0)
-    spare = 1 + -(-(most + 1) * 3 // 100)
+    spare = 2 + (most + 1) * SPARE_PERCENT // 100
     return Plan(most + 1 + 2 * spare, 1, spare)
 
 
