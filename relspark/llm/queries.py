@@ -60,6 +60,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs ``doc_id, item_id, edits`` of documents and the benchmark items that they leak."""
+    from .decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: A separator that no text encodes to: ``<|endoftext|>`` of the vocabulary.
 SEPARATOR = 50256
 

@@ -164,8 +164,24 @@ def _kept(b: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray, window: int, wor
         yield spaced[a : e - 1].tobytes() if e > a else b""
 
 
+def _cut(b: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray, window: int) -> Iterator[bytes]:
+    """Each text without its removed words and the white space after them."""
+    starts, _, woffs = tc.word_bounds(buf, offs)
+    data = b.column("data").to_pylist()
+    for d, (a, e) in enumerate(zip(woffs.tolist(), woffs[1:].tolist())):
+        text = buf[offs[d] : offs[d + 1]]
+        if data[d]:
+            gone = np.zeros(len(text), bool)
+            first, last = tc.runs(rp.removed(data[d], e - a, window))
+            edge = np.append(starts[a:e] - offs[d], len(text))
+            for x, y in zip(edge[first].tolist(), edge[last].tolist()):
+                gone[x:y] = True
+            text = text[~gone]
+        yield text.tobytes()
+
+
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` with repeated passages cut out; a text without any stays as it is, white space included."""
+    """``docs`` with repeated passages, and the white space after them, cut out; all other texts and columns stay."""
     df = _marked(docs, id_col, text_col, window)
     cols, at = docs.columns, docs.columns.index(text_col)
     names = [f"c{i}" for i in range(len(cols))]
@@ -174,12 +190,8 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, buf, offs in rp._texts(batches):
-            kept = list(_kept(b, buf, offs, window, [], []))
-            data = b.column("data").to_pylist()
             old = b.column(names[at])
-            new = [o if not d else k.decode("utf-8", "replace") for o, d, k in zip(old.to_pylist(), data, kept)]
-            cols_out = [pa.array(new, old.type) if c == names[at] else b.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(cols_out, names=names)
+            new = [o if not d else k.decode("utf-8", "replace") for o, d, k in zip(old.to_pylist(), b.column("data").to_pylist(), _cut(b, buf, offs, window))]
+            yield pa.RecordBatch.from_arrays([pa.array(new, old.type) if c == names[at] else b.column(c) for c in names], names=names)
 
-    out = touched.mapInArrow(run, out_schema)
-    return out.toDF(*cols)
+    return touched.mapInArrow(run, out_schema).toDF(*cols)
