@@ -25,13 +25,13 @@ from . import textcore as tc
 
 UNKNOWN = "und"
 #: Bounds of the labelled sample: documents a language, and characters over all languages.
-SAMPLE_DOCS, SAMPLE_CHARS = 100, 240_000
+SAMPLE_DOCS, SAMPLE_CHARS = 100, 100_000
 #: Languages that may be learned (the most frequent ones).
 MAX_LANGUAGES = 64
 #: A smaller score means that two languages are as likely: the text's language can't be told.
 MIN_SCORE = 0.02
 #: Distinct words that a worker remembers.
-CACHE_WORDS = 3_000_000
+CACHE_WORDS = 1_500_000
 
 
 @dataclass
