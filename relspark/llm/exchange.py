@@ -66,7 +66,7 @@ class Packer:
             cols = [np.concatenate(c)[order] for c in zip(*(c for k, _, c in held if k == kind))]
             cuts = np.searchsorted(part[order], np.arange(self.n + 1))
             full = np.flatnonzero(np.diff(cuts))
-            data = [b"".join(c[cuts[i] : cuts[i + 1]].tobytes() for c in cols) for i in full]
+            data = [squeeze([c[cuts[i] : cuts[i + 1]] for c in cols]) for i in full]
             yield pa.RecordBatch.from_arrays([pa.array(self.keys[full], pa.int32()), pa.array(np.full(len(full), kind, np.int32)), pa.array(data, pa.binary())], schema=_ARROW)
 
 
@@ -74,12 +74,23 @@ def deal(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(n, "p")
 
 
+def squeeze(cols: list[np.ndarray]) -> bytes:
+    """Columns as one compressed block; bytes of equal rank stand together, so that ids and places shrink."""
+    planes = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() if len(c) else b"" for c in map(np.ascontiguousarray, cols))
+    return len(planes).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True)
+
+
+def expand(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 def unpack(data: bytes, types: list) -> list[np.ndarray]:
-    size = sum(np.dtype(t).itemsize for t in types)
-    n, at, out = len(data) // size, 0, []
-    for t in types:
-        out.append(np.frombuffer(data, t, count=n, offset=at))
-        at += n * np.dtype(t).itemsize
+    sizes = [np.dtype(t).itemsize for t in types]
+    planes = np.frombuffer(expand(data), np.uint8)
+    n, at, out = len(planes) // sum(sizes), 0, []
+    for t, size in zip(types, sizes):
+        out.append(np.ascontiguousarray(planes[at : at + n * size].reshape(size, n).T).view(t)[:, 0])
+        at += n * size
     return out
 
 

@@ -64,7 +64,10 @@ class _Contexts:
         data = data[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
         cuts = np.searchsorted(part[order], np.arange(self.n + 1))
         full = np.flatnonzero(np.diff(cuts))
-        rows = [len(h := head[cuts[i] : cuts[i + 1]]).to_bytes(8, "little") + h.tobytes() + data[total[cuts[i]] : total[cuts[i + 1]]].tobytes() for i in full]
+        rows = []
+        for i in full:
+            h, text = ex.squeeze([head[cuts[i] : cuts[i + 1]]]), ex.squeeze([data[total[cuts[i]] : total[cuts[i + 1]]]])
+            rows.append(len(h).to_bytes(8, "little") + h + text)
         yield pa.RecordBatch.from_arrays([pa.array(self.keys[full], pa.int32()), pa.array(np.full(len(full), 0, np.int32)), pa.array(rows, pa.binary())], names=["p", "kind", "data"])
 
 
@@ -122,8 +125,8 @@ def _flags(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFram
                     yield from pack.add(rp.doc_part(cols[0], n), *cols)
                 else:
                     k = int.from_bytes(raw[:8], "little")
-                    heads.append(np.frombuffer(raw, _HEAD, k, 8))
-                    data.append(np.frombuffer(raw, np.uint8, offset=8 + k * _HEAD.itemsize))
+                    heads.append(ex.unpack(raw[8 : 8 + k], [_HEAD])[0])
+                    data.append(np.frombuffer(ex.expand(raw[8 + k :]), np.uint8))
         if heads:
             head, data = np.concatenate(heads), np.concatenate(data)
             size = head["n"].astype(np.int64) + window - 1
