@@ -15,8 +15,10 @@ subsets (empty ones, then those whose rarest shingle is frequent around it).
 
 Equal sets count as one node throughout. Subsets shared by a few nodes give all
 pairs; those shared by many give a star and a chain first, and only what these
-leave in different components is compared further, after another partition of
-the same nodes by an independent hash. No cap drops a pair.
+leave in different components is compared further. A candidate's parity sketch (a
+bit for each of 4n cells; every shingle not shared flips one) gives a lower bound of the
+symmetric difference, which rules most false candidates out before whole sets travel.
+No cap drops a pair.
 
 Defined cases: fewer words than a shingle has make one shingle of all; no words or
 a null text make an empty set, linked with nothing; null ids form links but never name
@@ -105,7 +107,7 @@ def set_ids(g: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(n > 0, np.maximum(sid, tc.U(1)), tc.U(0))
 
 
-def signatures(g: np.ndarray, at: np.ndarray, salt: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def signatures(g: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``(document, key)`` arrays, a pair for each band plan: similar sets share a key."""
     size = np.diff(at)
     if not len(g):
@@ -116,7 +118,7 @@ def signatures(g: np.ndarray, at: np.ndarray, salt: int = 0) -> Iterator[tuple[n
     run = np.flatnonzero(np.r_[True, g[order][1:] != g[order][:-1], True])
     freq = np.empty(len(g), np.int32)
     freq[order] = np.repeat(np.diff(run), np.diff(run))
-    place = tc.mix(g ^ tc.mix(np.full(1, 77 + salt, tc.U))[0])
+    place = tc.mix(g ^ tc.mix(np.full(1, 77, tc.U))[0])
     for k in np.unique(band[size > 0]).tolist():
         for group in (k, k - 1):
             p = plan(group) if group >= 0 else None
@@ -134,7 +136,7 @@ def signatures(g: np.ndarray, at: np.ndarray, salt: int = 0) -> Iterator[tuple[n
             running = np.concatenate([np.zeros(1, tc.U), np.cumsum(value, dtype=tc.U)])
             total = running[first[1:]] - running[first[:-1]]
             n = np.diff(first)
-            seed = tc.mix((np.arange(cells) % p.segments).astype(tc.U) + tc.U(group << 32) + tc.U(salt << 56))
+            seed = tc.mix((np.arange(cells) % p.segments).astype(tc.U) + tc.U(group << 32))
             cost = np.full(cells, np.iinfo(np.int32).max, np.int32)
             full = np.flatnonzero(n)
             cost[full] = np.minimum.reduceat(f, first[:-1][full]) if len(full) else 0
@@ -172,11 +174,8 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return DEN * np.minimum(a, b) >= NUM * np.maximum(a, b)
 
 
-def pairs_of(key: np.ndarray, sid: np.ndarray, n: np.ndarray, comp: np.ndarray | None, pairwise: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate pairs of nodes that share keys; members (key, sid) of keys with more than ``pairwise`` nodes.
-
-    With ``comp`` only pairs of different components count. ``pairwise`` 0 gives all pairs of all keys.
-    """
+def pairs_of(key: np.ndarray, sid: np.ndarray, n: np.ndarray, pairwise: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs of nodes that share keys; members (list of nodes, sid) of keys with more than ``pairwise`` nodes."""
     some = np.flatnonzero(tc.repeated(key)) if len(key) else np.zeros(0, np.int64)
     order = some[np.lexsort((sid[some], n[some], key[some]))]
     k, s = key[order], sid[order]
@@ -184,30 +183,30 @@ def pairs_of(key: np.ndarray, sid: np.ndarray, n: np.ndarray, comp: np.ndarray |
     fresh[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
     order = order[fresh]
     k, s, m = key[order], sid[order], n[order]
-    c = comp[order] if comp is not None else None
     head = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
     size = np.diff(np.r_[head, len(k)])
     own = np.repeat(size, size)
     left, right = [], []
 
     def take(i: np.ndarray, j: np.ndarray) -> None:
-        ok = _near(m[i], m[j]) & (s[i] != s[j])
-        if c is not None:
-            ok &= c[i] != c[j]
+        ok = _near(m[i], m[j])
         left.append(s[i[ok]])
         right.append(s[j[ok]])
 
     longest = int(size.max()) if len(size) else 0
-    for d in range(1, (longest if not pairwise else min(longest, pairwise))):
-        i = np.flatnonzero((k[d:] == k[:-d]) & ((own[d:] <= pairwise) | (pairwise == 0)))
+    for d in range(1, min(longest, pairwise)):
+        i = np.flatnonzero((k[d:] == k[:-d]) & (own[d:] <= pairwise))
         take(i, i + d)
-    big = np.zeros(0, np.int64)
-    if pairwise:
-        big = np.flatnonzero(own > pairwise)
-        if len(big):
-            i = big[:-1][k[big[1:]] == k[big[:-1]]]
-            take(i, i + 1)
-            take(np.repeat(head, size)[big], big)
+    big, bucket = np.zeros(0, np.int64), np.zeros(0, tc.U)
+    if len(head) and (size > pairwise).any():
+        lists = np.add.reduceat(tc.mix(s), head)  # many keys have the same nodes: one list of them is enough
+        large, wanted = np.flatnonzero(size > pairwise), np.zeros(len(head), bool)
+        wanted[large[np.unique(lists[large], return_index=True)[1]]] = True
+        big = np.flatnonzero(np.repeat(wanted, size))
+        bucket = np.repeat(lists, size)[big]
+        i = big[:-1][k[big[1:]] == k[big[:-1]]]
+        take(i, i + 1)
+        take(np.repeat(head, size)[big], big)
     a, b = (np.concatenate(x) if x else np.zeros(0, tc.U) for x in (left, right))
     a, b = np.minimum(a, b), np.maximum(a, b)
     if len(a):
@@ -215,7 +214,7 @@ def pairs_of(key: np.ndarray, sid: np.ndarray, n: np.ndarray, comp: np.ndarray |
         a, b = a[order], b[order]
         one = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
         a, b = a[one], b[one]
-    return a, b, k[big], s[big]
+    return a, b, bucket, s[big]
 
 
 _KEYS = ["<u4", "<u8", "<u4"]
@@ -252,14 +251,10 @@ def _candidates(src: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
         yield from pack.flush()
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
         key, sid, size = ex.gather(batches, {0: _KEYS})[0]
         pack = ex.Packer(n, keys)
-        a, b, bucket, member = pairs_of(key.astype(tc.U) << tc.U(32), sid, size.astype(np.int64), None, PAIRWISE)
+        a, b, bucket, member = pairs_of(key.astype(tc.U) << tc.U(32), sid, size.astype(np.int64), PAIRWISE)
         yield from pack.add((tc.mix(a) % tc.U(n)).astype(np.int64), a, b)
-        bucket = tc.mix(bucket + tc.U(part))
         yield from pack.add((tc.mix(member) % tc.U(n)).astype(np.int64), bucket, member, kind=1)
         yield from pack.flush()
 
@@ -274,6 +269,22 @@ def _candidates(src: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     return store.settle(_pairs_frame(found.where("kind = 0"), n), "jaccard-pairs"), found.where("kind = 1").mapInArrow(members, "bucket long, sid long")
 
 
+def sketch(g: np.ndarray) -> bytes:
+    """The parity of the set's hashes in each of about 4n cells, as bits: each shingle that two sets don't share flips one."""
+    width = max(256, 1 << int(4 * len(g) - 1).bit_length())
+    return np.packbits(np.bincount((g >> tc.U(20)).astype(np.int64) & (width - 1), minlength=width).astype(np.uint8) & 1).tobytes()
+
+
+def folded(bits: bytes, width: int) -> np.ndarray:
+    """A sketch in ``width`` bytes: its halves (cells of equal low bits) together."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, width), axis=0)
+
+
+def apart(x: np.ndarray, y: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """True where sketches prove that sets of ``total`` shingles together are not similar."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) > (DEN - NUM) * total // (DEN + NUM)
+
+
 def _set_table(src: DataFrame, info: DataFrame, wanted: DataFrame) -> DataFrame:
     """``sid, set`` of the wanted nodes, each from one document that has the set."""
     one = info.join(wanted, "sid").groupBy("sid").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_fp")).alias("d")).select("sid", F.col("d._id").alias("_id"), F.col("d._fp").alias("_fp"))
@@ -281,32 +292,41 @@ def _set_table(src: DataFrame, info: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, g, at, _ in _sets(batches):
-            yield pa.RecordBatch.from_arrays([b.column("sid"), pa.array([g[x:y].tobytes() for x, y in zip(at.tolist(), at[1:].tolist())], pa.binary())], names=["sid", "set"])
+            cut = list(zip(at.tolist(), at[1:].tolist()))
+            yield pa.RecordBatch.from_arrays([b.column("sid"), pa.array(np.diff(at)), pa.array([sketch(g[x:y]) for x, y in cut], pa.binary()), pa.array([g[x:y].tobytes() for x, y in cut], pa.binary())], names=["sid", "n", "sketch", "set"])
 
-    return store.settle(texts.mapInArrow(run, "sid long, set binary"), "jaccard-sets")
+    return store.settle(texts.mapInArrow(run, "sid long, n long, sketch binary, set binary"), "jaccard-sets")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
-    """The pairs whose sets are similar. A set travels once to each partition that needs it."""
+def _similar(a: bytes, b: bytes) -> bool:
+    x, y = np.frombuffer(a, tc.U), np.frombuffer(b, tc.U)
+    small, big = (x, y) if len(x) < len(y) else (y, x)
+    at = np.searchsorted(big, small)
+    at[at == len(big)] = 0
+    same = int((big[at] == small).sum())
+    return DEN * same >= NUM * (len(x) + len(y) - same)
+
+
+def _may_be(a: tuple[int, bytes], b: tuple[int, bytes]) -> bool:
+    width = min(len(a[1]), len(b[1]))
+    return not apart(folded(a[1], width), folded(b[1], width), np.array(a[0] + b[0]))
+
+
+def _tested(pairs: DataFrame, sets: DataFrame, n: int, whole: bool) -> DataFrame:
+    """The pairs whose sets are similar (``whole``) or whose sketches allow it. A node travels once to each partition that needs it."""
+    data = F.col("set") if whole else F.col("sketch")
+    slim = sets.select("sid", "n", data.alias("data"))
     part = F.pmod(F.xxhash64("b"), F.lit(n * 2)).cast("int")
     asked = pairs.groupBy("a", part.alias("q")).agg(F.collect_list("b").alias("bs"))
-    asked = asked.join(sets.withColumnsRenamed({"sid": "a", "set": "aset"}).hint("merge"), "a").select("q", "a", "aset", "bs")
-    held = sets.select(F.pmod(F.xxhash64("sid"), F.lit(n * 2)).cast("int").alias("q"), "sid", "set")
+    asked = asked.join(slim.toDF("a", "an", "adata").hint("merge"), "a").select("q", "a", "an", "adata", "bs")
+    held = slim.select(F.pmod(F.xxhash64("sid"), F.lit(n * 2)).cast("int").alias("q"), "sid", "n", "data")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        have = {s: np.frombuffer(d, tc.U) for s, d in zip(right.column("sid").to_pylist(), right.column("set").to_pylist())}
+        have = dict(zip(right.column("sid").to_pylist(), zip(right.column("n").to_pylist(), right.column("data").to_pylist())))
         out_a, out_b = [], []
-        for a, data, bs in zip(left.column("a").to_pylist(), left.column("aset").to_pylist(), left.column("bs").to_pylist()):
-            x = np.frombuffer(data, tc.U)
+        for a, size, data, bs in zip(*(left.column(c).to_pylist() for c in ("a", "an", "adata", "bs"))):
             for b in bs:
-                y = have.get(b)
-                if y is None:
-                    continue
-                small, big = (x, y) if len(x) < len(y) else (y, x)
-                at = np.searchsorted(big, small)
-                at[at == len(big)] = 0
-                same = int((big[at] == small).sum())
-                if DEN * same >= NUM * (len(x) + len(y) - same):
+                if b in have and (_similar(data, have[b][1]) if whole else _may_be((size, data), have[b])):
                     out_a.append(a)
                     out_b.append(b)
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
@@ -314,6 +334,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
     return asked.groupBy("q").cogroup(held.groupBy("q")).applyInArrow(run, "a long, b long")
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """The pairs whose sets are similar: sketches rule most others out, the whole sets decide."""
+    return _tested(store.settle(_tested(pairs, sets, n, False), "jaccard-likely"), sets, n, True)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``sid, comp`` for the ends of ``edges`` (a, b), by contraction to the least neighbour."""
     spark, maps = edges.sparkSession, []
@@ -332,35 +357,53 @@ def components(edges: DataFrame) -> DataFrame:
     return store.settle(out, "jaccard-components")
 
 
+#: Sketches compared with one another at once, in rows.
+TILE = 512
+
+
+def cross_pairs(sid: np.ndarray, comp: np.ndarray, size: np.ndarray, bits: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the nodes of one bucket, the pairs of different components that their sketches allow, tile by tile."""
+    order = np.argsort(size, kind="stable")
+    sid, comp, size = sid[order], comp[order], size[order]
+    width = min(map(len, bits))
+    cells = np.stack([folded(bits[i], width) for i in order])
+    left, right = [], []
+    for i in range(0, len(sid), TILE):
+        most = int(np.searchsorted(size, int(size[min(i + TILE, len(sid)) - 1]) * DEN // NUM, "right"))
+        for j in range(i, most, TILE):
+            x, y = slice(i, min(i + TILE, len(sid))), slice(j, min(j + TILE, most))
+            for r in range(x.start, x.stop):  # a row against a tile
+                ok = (comp[y] != comp[r]) & (np.arange(y.start, y.stop) > r) & _near(size[y], size[r])
+                at = np.flatnonzero(ok)
+                if len(at):
+                    at = at[~apart(cells[y][at], cells[r], size[y][at] + size[r])]
+                    left.append(np.full(len(at), sid[r]))
+                    right.append(sid[y][at])
+    a, b = (np.concatenate(v) if v else np.zeros(0, sid.dtype) for v in (left, right))
+    return np.minimum(a, b), np.maximum(a, b)
+
+
 def _further(members: DataFrame, comps: DataFrame, sets: DataFrame, n: int) -> DataFrame:
-    """Pairs of members of a bucket that are in different components and share a subset of a second partition too."""
+    """Pairs of members of a bucket that are in different components and that sketches allow."""
     named = members.join(comps, "sid", "left").select("bucket", "sid", F.coalesce("comp", "sid").alias("comp"))
     mixed = named.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-    rows = named.join(mixed, "bucket").join(sets.hint("merge"), "sid").select("bucket", "sid", "comp", "set")
-    keys = ex.part_keys(n)
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = ex.Packer(n, keys)
-        for b in batches:
-            raw = b.column("set").to_pylist()
-            for i in range(0, len(raw), 1000):
-                part = raw[i : i + 1000]
-                g = np.frombuffer(b"".join(part), tc.U)
-                at = np.concatenate([[0], np.cumsum([len(x) // 8 for x in part])])
-                bucket, sid, comp = (b.column(c).to_numpy()[i : i + 1000].view(tc.U) for c in ("bucket", "sid", "comp"))
-                for doc, key in signatures(g, at, salt=1):
-                    key = tc.mix(key ^ tc.mix(bucket[doc]))
-                    yield from pack.add((key % tc.U(n)).astype(np.int64), key, sid[doc], np.diff(at)[doc].astype(np.uint32), comp[doc])
-        yield from pack.flush()
+    rows = named.join(mixed, "bucket").join(sets.select("sid", "n", "sketch").hint("merge"), "sid").select("bucket", "sid", "comp", "n", "sketch")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sid, size, comp = ex.gather(batches, {0: ["<u8", "<u8", "<u4", "<u8"]})[0]
-        pack = ex.Packer(n, keys)
-        a, b, _, _ = pairs_of(key, sid, size.astype(np.int64), comp, 0)
-        yield from pack.add((tc.mix(a) % tc.U(n)).astype(np.int64), a, b)
-        yield from pack.flush()
-
-    return _pairs_frame(ex.deal(rows.mapInArrow(emit, ex.SCHEMA), n).mapInArrow(match, ex.SCHEMA), n)
+        table = pa.Table.from_batches(list(batches))
+        if not len(table):
+            return
+        bucket, sid, comp, size = (table.column(c).to_numpy() for c in ("bucket", "sid", "comp", "n"))
+        bits = table.column("sketch").to_pylist()
+        order = np.argsort(bucket, kind="stable")
+        cut = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1], True])
+        for x, y in zip(cut.tolist(), cut[1:].tolist()):
+            at = order[x:y]
+            a, b = cross_pairs(sid[at], comp[at], size[at], [bits[i] for i in at.tolist()])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return rows.repartition(n, "bucket").mapInArrow(match, "a long, b long").distinct()
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -370,6 +413,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     src = _known(docs, id_col, text_col)
     info = store.settle(src.mapInArrow(_info, "_id long, _fp long, sid long, n long"), "jaccard-info")
     pairs, members = _candidates(src, n)
+    members = store.settle(members.distinct(), "jaccard-members")
     ends = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(members.select("sid")).distinct()
     sets = _set_table(src, info.where("n > 0"), ends)
     good = store.settle(_verified(pairs, sets, n), "jaccard-links")
