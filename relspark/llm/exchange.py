@@ -48,7 +48,7 @@ def part_keys(n: int) -> np.ndarray:
 class Packer:
     """Gathers columns by partition; ``flush`` yields record batches of blocks."""
 
-    def __init__(self, n: int, keys: np.ndarray, limit: int = 48 << 20):
+    def __init__(self, n: int, keys: np.ndarray, limit: int = 24 << 20):
         self.n, self.keys, self.limit, self.held, self.bytes = n, keys, limit, [], 0
 
     def add(self, part: np.ndarray, *cols: np.ndarray, kind: int = 0) -> Iterator[pa.RecordBatch]:

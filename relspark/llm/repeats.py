@@ -91,9 +91,13 @@ def anchors(s: Slice, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prepare(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``_id, _fp, _t``: a number for the id, a hash of the text, the text."""
+    """``_id, _fp, _t``: a number for the id, 16 bits of the text's hash, the text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID))).alias("_id"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("_fp"), text.alias("_t"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID))).alias("_id"), F.shiftright(F.xxhash64(text), 48).cast("int").alias("_fp"), text.alias("_t"))
+
+
+def fp_of(b: pa.RecordBatch) -> np.ndarray:
+    return b.column("_fp").to_numpy().astype(np.int16).view(np.uint16)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -154,7 +158,7 @@ def by_document(replies: DataFrame, n: int, types: list, pack_row: Callable[...,
         for i in range(0, len(cut) - 1, 4096):
             c = cut[i : i + 4097]
             data = [pack_row(*(x[a:b] for x in cols[2:])) for a, b in zip(c.tolist(), c[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0][c[:-1]]), pa.array(cols[1][c[:-1]].view(np.int32)), pa.array(data, pa.binary())], names=["_id", "_fp", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0][c[:-1]]), pa.array(cols[1][c[:-1]].view(np.int16).astype(np.int32)), pa.array(data, pa.binary())], names=["_id", "_fp", "data"])
 
     return ex.deal(replies, n).mapInArrow(run, "_id long, _fp int, data binary")
 
@@ -173,7 +177,7 @@ def repeating_anchors(src: DataFrame, unit: Unit, hot: np.ndarray, n: int) -> Da
             s = open_slice(buf, offs, unit)
             at, h = anchors(s, unit)
             doc = np.searchsorted(s.offs, at, "right") - 1
-            ids, fps = b.column("_id").to_numpy()[doc], b.column("_fp").to_numpy().view(np.uint32)[doc]
+            ids, fps = b.column("_id").to_numpy()[doc], fp_of(b)[doc]
             pos = (at - s.offs[doc]).astype(np.uint32)
             known = tc.member(h, hot)
             yield from pack.add(doc_part(ids[known], n), ids[known], fps[known], pos[known], kind=1)
@@ -182,7 +186,7 @@ def repeating_anchors(src: DataFrame, unit: Unit, hot: np.ndarray, n: int) -> Da
         yield from pack.flush()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = ex.gather(batches, {0: ["<u4", "<i8", "<u4", "<u4"], 1: ["<i8", "<u4", "<u4"]})
+        got = ex.gather(batches, {0: ["<u4", "<i8", "<u2", "<u4"], 1: ["<i8", "<u2", "<u4"]})
         pack = ex.Packer(n, keys)
         yield from pack.add(doc_part(got[1][0], n), *got[1])
         h, ids, fps, pos = got[0]
@@ -193,7 +197,7 @@ def repeating_anchors(src: DataFrame, unit: Unit, hot: np.ndarray, n: int) -> Da
         yield from pack.flush()
 
     found = ex.deal(src.mapInArrow(find, ex.SCHEMA), n).mapInArrow(answer, ex.SCHEMA)
-    return by_document(found, n, ["<i8", "<u4", "<u4"], lambda pos: pos.tobytes())
+    return by_document(found, n, ["<i8", "<u2", "<u4"], lambda pos: pos.tobytes())
 
 
 def candidates(s: Slice, unit: Unit, data: list[bytes | None], whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,7 +257,7 @@ def not_first(group: np.ndarray, ids: np.ndarray, pos: np.ndarray | None) -> np.
     return out
 
 
-FLAGS = ["<i8", "<u4", "<u4", "<u4"]  # id, hash of text, start, windows in a row
+FLAGS = ["<i8", "<u2", "<u4", "<u4"]  # id, hash of text, start, windows in a row
 
 
 def flag_runs(ids: np.ndarray, fps: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:

@@ -32,7 +32,7 @@ from . import textcore as tc
 WINDOW, DIGIT = 100, 25
 #: Neighbours in a block near a hot anchor, and bytes of context sorted at once.
 BLOCK, SORT_BYTES = 8, 4 << 20
-_HEAD = np.dtype([("rem", "<u4"), ("id", "<i8"), ("fp", "<u4"), ("pos", "<u4"), ("n", "<u4")])
+_HEAD = np.dtype([("rem", "<u4"), ("id", "<i8"), ("fp", "<u2"), ("pos", "<u4"), ("n", "<u4")])
 
 
 class _Contexts:
@@ -84,7 +84,7 @@ def _flags(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFram
         for b, buf, offs in rp._texts(batches):
             s = rp.open_slice(buf, offs, unit)
             whole = b.column("whole").to_numpy(zero_copy_only=False)
-            ids, fps = b.column("_id").to_numpy(), b.column("_fp").to_numpy().view(np.uint32)
+            ids, fps = b.column("_id").to_numpy(), rp.fp_of(b)
             size = np.diff(s.offs)
             all_of = np.flatnonzero(whole & (size >= window))
             yield from pack.add(rp.doc_part(ids[all_of], n), ids[all_of], fps[all_of], np.zeros(len(all_of), np.uint32), (size[all_of] - window + 1).astype(np.uint32), kind=1)

@@ -80,7 +80,7 @@ def _flags(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFram
         for b, buf, offs in rp._texts(batches):
             s = rp.open_slice(buf, offs, unit)
             whole = b.column("whole").to_numpy(zero_copy_only=False)
-            ids, fps = b.column("_id").to_numpy(), b.column("_fp").to_numpy().view(np.uint32)
+            ids, fps = b.column("_id").to_numpy(), rp.fp_of(b)
             size = np.diff(s.offs)
             all_of = np.flatnonzero(whole & (size >= window))
             yield from pack.add(rp.doc_part(ids[all_of], n), ids[all_of], fps[all_of], np.zeros(len(all_of), np.uint32), (size[all_of] - window + 1).astype(np.uint32), kind=1)
@@ -102,11 +102,11 @@ def _flags(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFram
                 h = _prefix(s.items, at[todo], length)
                 route[todo] = h
                 todo = todo[tc.member(h, heavy.value)] if length < window else todo[:0]
-            yield from pack.add((route % tc.U(n)).astype(np.int64), *((e >> tc.U(32)).astype(np.uint32) for e in edges), ids[doc], fps[doc], (at - s.offs[doc]).astype(np.uint32))
+            yield from pack.add((route % tc.U(n)).astype(np.int64), *((e >> tc.U(64 - b)).astype(f"<u{b // 8}") for e, b in zip(edges, (32, 32, 16))), ids[doc], fps[doc], (at - s.offs[doc]).astype(np.uint32))
         yield from pack.flush()
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = ex.gather(batches, {0: ["<u4", "<u4", "<u4", "<i8", "<u4", "<u4"], 1: rp.FLAGS})
+        got = ex.gather(batches, {0: ["<u4", "<u4", "<u2", "<i8", "<u2", "<u4"], 1: rp.FLAGS})
         pack = ex.Packer(n, keys)
         yield from pack.add(rp.doc_part(got[1][0], n), *got[1])
         *edges, ids, fps, pos = got[0]
@@ -125,7 +125,7 @@ def _with_part(runs: tuple[np.ndarray, ...], n: int) -> tuple[np.ndarray, ...]:
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     flags = _flags(docs, id_col, text_col, window)
-    named = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)), F.coalesce(F.col(id_col).cast("long"), F.lit(int(rp.NULL_ID))).alias("_id"), F.shiftright(F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 32).cast("int").alias("_fp"))
+    named = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)), F.coalesce(F.col(id_col).cast("long"), F.lit(int(rp.NULL_ID))).alias("_id"), F.shiftright(F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 48).cast("int").alias("_fp"))
     return named.join(flags.hint("merge"), ["_id", "_fp"], "left")
 
 
