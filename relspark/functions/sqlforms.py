@@ -60,10 +60,6 @@ def typeof(x: str) -> str:
     return f"CASE WHEN {x} IS NULL THEN 'null' WHEN typeof({x}) IN ('boolean', 'tinyint', 'smallint', 'int', 'bigint') THEN 'integer' WHEN typeof({x}) IN ('double', 'float') OR typeof({x}) LIKE 'decimal%' THEN 'real' WHEN typeof({x}) = 'binary' THEN 'blob' ELSE 'text' END"
 
 
-def _json_udf(name: str) -> Callable[..., str]:
-    return lambda *a: f"rs_{name}(array({', '.join(f'rs_json_arg({x})' for x in a)}))" if False else f"rs_{name}({', '.join(a)})"
-
-
 FORMS: dict[str, Callable[..., str | None]] = {
     "/": divide,
     "mod": modulo,
@@ -97,7 +93,7 @@ FORMS: dict[str, Callable[..., str | None]] = {
     "json_valid": lambda x: f"CASE WHEN try_parse_json(CAST({x} AS STRING)) IS NOT NULL AND trim(CAST({x} AS STRING)) <> 'null' THEN 1 ELSE 0 END",
     "json_quote": lambda x: f"rs_json_quote(CAST({x} AS STRING), typeof({x}))",
     "json_type": lambda x, p="'$'": f"rs_json_type({x}, {p})",
-    "json_extract": lambda x, *p: f"rs_json_extract({x}, array({', '.join(p)}))",
+    "json_extract": lambda x, *p: f"get_json_object({x}, {p[0]})" if len(p) == 1 else f"rs_json_extract({x}, array({', '.join(p)}))",
     "json_array": lambda *a: f"rs_json_array(array({', '.join(f'CAST({x} AS STRING)' for x in a)}), array({', '.join(f'typeof({x})' for x in a)}))" if a else "'[]'",
     "json_object": lambda *a: f"rs_json_object(array({', '.join(f'CAST({x} AS STRING)' for x in a)}), array({', '.join(f'typeof({x})' for x in a)}))" if a else "'{}'",
     **{
