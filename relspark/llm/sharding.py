@@ -86,8 +86,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     pool = [0] * buckets
     for b, s in zip(pooled, at[first_pool:].tolist()):
         pool[b.bucket] = s
-    pinned = [(h, h2, g, int(s)) for (h, h2, gs), s in zip(keys, at.tolist()) for g in (gs or range(GRAINS))]
-    fixed = spark.createDataFrame([(h, h2, None if gs is None else gs, int(s)) for (h, h2, gs), s in zip(keys, at.tolist())], "h long, h2 long, gs array<int>, s int") if pinned else None
+    fixed = spark.createDataFrame([(h, h2, gs, int(s)) for (h, h2, gs), s in zip(keys, at.tolist())], "h long, h2 long, gs array<int>, s int") if keys else None
     pool_shard = F.element_at(F.lit(pool), (F.pmod("h", F.lit(buckets)) + 1).cast("int"))
     if fixed is not None:
         whole = fixed.where("gs is null").select("h", "h2", F.col("s").alias("whole"))
