@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udf
+from pyspark.sql.functions import udf, udtf
 
 from . import jsonvalue as jv
 
@@ -130,6 +130,25 @@ _ALL = {
 }
 
 
+class _JsonEach:
+    """``json_each`` in FROM: the elements of one level."""
+
+    deep = False
+
+    def eval(self, text: str, path: str = "$"):
+        from ..operators.tablefunc import json_rows
+
+        yield from json_rows(text, path, self.deep)
+
+
+class _JsonTree(_JsonEach):
+    deep = True
+
+
 def register(spark: SparkSession) -> None:
+    from ..operators.tablefunc import SCHEMA
+
+    spark.udtf.register("rs_json_each", udtf(_JsonEach, returnType=SCHEMA))
+    spark.udtf.register("rs_json_tree", udtf(_JsonTree, returnType=SCHEMA))
     for name, f in _ALL.items():
         spark.udf.register(name, udf(f, "string", useArrow=True))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-_SCHEMA = "key string, value string, type string, atom string, id long, parent long, fullkey string, path string"
+SCHEMA = "key string, value string, type string, atom string, id long, parent long, fullkey string, path string"
 
 
 def json_rows(text: str | None, path: str | None, deep: bool) -> list[tuple]:
@@ -44,7 +44,7 @@ def json_rows(text: str | None, path: str | None, deep: bool) -> list[tuple]:
 def json_each(df: DataFrame, column: str, path: str = "$", deep: bool = False) -> DataFrame:
     """``df`` with a row for each element of the JSON in ``column``."""
 
-    @F.udf(returnType=f"array<struct<{', '.join(x.replace(' ', ':') for x in _SCHEMA.split(', '))}>>", useArrow=True)
+    @F.udf(returnType=f"array<struct<{', '.join(x.replace(' ', ':') for x in SCHEMA.split(', '))}>>", useArrow=True)
     def rows(text):
         return json_rows(text, path, deep)
 

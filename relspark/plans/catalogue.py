@@ -141,6 +141,7 @@ _SQL: dict[str, tuple[str, str | None]] = {
     "json_type": ("SELECT event_id, JSON_TYPE(props) AS a, JSON_TYPE(props, '$.k') AS b, JSON_TYPE(props, '$.none') AS c FROM events", "SELECT event_id, 'object' AS a, CASE WHEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') THEN 'integer' WHEN json_type(props, '$.k') = 'DOUBLE' THEN 'real' ELSE 'other' END AS b, 'null' AS c FROM events"),
     "json_array_object": ("SELECT n_nationkey, JSON_ARRAY(n_nationkey, n_name, NULL) AS a, JSON_OBJECT('id', n_nationkey, 'name', n_name) AS o FROM nation", "SELECT n_nationkey, json_array(n_nationkey, n_name, NULL)::VARCHAR AS a, json_object('id', n_nationkey, 'name', n_name)::VARCHAR AS o FROM nation"),
     "json_set_remove": ("SELECT n_nationkey, JSON_SET('{\"a\":1}', '$.b', n_nationkey) AS s, JSON_REMOVE('{\"a\":1,\"b\":[1,2]}', '$.a', '$.b[0]') AS r, JSON_INSERT('{\"a\":1}', '$.a', 9) AS i, JSON_REPLACE('{\"a\":1}', '$.a', 9) AS p FROM nation", "SELECT n_nationkey, '{\"a\":1,\"b\":' || n_nationkey || '}' AS s, '{\"b\":[2]}' AS r, '{\"a\":1}' AS i, '{\"a\":9}' AS p FROM nation"),
+    "lateral_json_each": ("SELECT e.event_id, j.key AS k, j.value AS v, j.type AS t FROM events e, json_each(e.props) j", "SELECT event_id, j.key AS k, (props::JSON ->> j.key) AS v, CASE WHEN json_type(props, '$.' || j.key) IN ('UBIGINT', 'BIGINT') THEN 'integer' ELSE 'other' END AS t FROM events, LATERAL (SELECT unnest(json_keys(props)) AS key) j"),
     "json_patch": ("SELECT n_nationkey, JSON_PATCH('{\"a\":1,\"b\":{\"c\":2}}', '{\"a\":null,\"b\":{\"d\":3}}') AS p FROM nation", "SELECT n_nationkey, json_merge_patch('{\"a\":1,\"b\":{\"c\":2}}', '{\"a\":null,\"b\":{\"d\":3}}')::VARCHAR AS p FROM nation"),
     "json_array_length": ("SELECT n_nationkey, JSON_ARRAY_LENGTH('[1,2,3]') AS a, JSON_ARRAY_LENGTH('{\"x\":[1]}', '$.x') AS b, JSON_ARRAY_LENGTH('{}') AS c FROM nation", "SELECT n_nationkey, 3 AS a, 1 AS b, NULL::INT AS c FROM nation"),
     # further reads

@@ -544,7 +544,7 @@ class Database(Introspection):
                 rows.append(r.group())
             src, cols = self._value_rows(t, cols or writable, rows)
         else:
-            src = self.query(r.until("on", "returning") if not r.peek("with") else self._until_conflict(r))
+            src = self.query(self._until_conflict(r))
             if not cols and set(src.columns) == set(writable):
                 cols = src.columns
             cols = cols or writable
@@ -575,7 +575,13 @@ class Database(Introspection):
         return (self._returning(name, done, returning), last[0])
 
     def _until_conflict(self, r: Reader) -> list[Token]:
-        return r.until("returning")
+        """A query up to ON CONFLICT or RETURNING (an ON of a join is its own)."""
+        out = r.until("on", "returning")
+        while r.peek("on") and not r.peek("on", "conflict"):
+            out.append(r.tokens[r.at])
+            r.at += 1
+            out += r.until("on", "returning")
+        return out
 
     def _value_rows(self, t: Table, cols: list[str], rows: list[list[Token]]) -> tuple[DataFrame, list[str]]:
         """VALUES as a DataFrame: plain literals without a job, expressions through SQL."""

@@ -58,6 +58,13 @@ def test_conflicts(db):
     assert rows(db, "SELECT * FROM t ORDER BY id") == [(1, "a"), (2, "B"), (3, "cC"), (4, "d")]
 
 
+def test_insert_from_a_join_and_json_tables(db):
+    db.executescript("CREATE TABLE a (k INTEGER PRIMARY KEY, tags TEXT); CREATE TABLE b (k INTEGER PRIMARY KEY); INSERT INTO a VALUES (1, '[\"x\",\"y\"]'), (2, '{\"p\":{\"q\":1}}'); INSERT INTO b SELECT a.k FROM a JOIN a AS c ON a.k = c.k; INSERT INTO b SELECT a.k FROM a JOIN a AS c ON a.k = c.k ON CONFLICT DO NOTHING")
+    assert rows(db, "SELECT COUNT(*) FROM b") == [(2,)]
+    assert rows(db, "SELECT a.k, j.value, j.fullkey FROM a JOIN json_each(a.tags) j ORDER BY a.k, j.id") == [(1, "x", "$[0]"), (1, "y", "$[1]"), (2, '{"q":1}', "$.p")]
+    assert rows(db, "SELECT fullkey, type FROM json_tree('{\"p\":{\"q\":1}}') ORDER BY id") == [("$", "object"), ("$.p", "object"), ("$.p.q", "integer")]
+
+
 def test_foreign_keys(db):
     db.executescript("CREATE TABLE p (id INTEGER PRIMARY KEY); CREATE TABLE c (id INTEGER PRIMARY KEY, pid INTEGER REFERENCES p(id) ON DELETE SET NULL ON UPDATE CASCADE); CREATE TABLE r (pid INTEGER REFERENCES p(id)); INSERT INTO p VALUES (1), (2), (3); INSERT INTO c VALUES (10, 1), (11, 2), (12, NULL); INSERT INTO r VALUES (3)")
     with pytest.raises(er.ForeignKeyError):
