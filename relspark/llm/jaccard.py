@@ -334,9 +334,20 @@ def _tested(pairs: DataFrame, sets: DataFrame, n: int, whole: bool) -> DataFrame
     return asked.groupBy("q").cogroup(held.groupBy("q")).applyInArrow(run, "a long, b long")
 
 
+#: Nodes whose ids (8 bytes each) may be broadcast to pick their sets; more of them are joined by a shuffle.
+BROADCAST_NODES = 250_000
+
+
+def _similar_pairs(pairs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """The settled pairs whose whole sets are similar; only the sets they name travel."""
+    ends = store.settle(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), "jaccard-ends")
+    ends = F.broadcast(ends) if ends.count() <= BROADCAST_NODES else ends.hint("merge")
+    return _tested(pairs, sets.join(ends, "sid", "left_semi"), n, True)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
     """The pairs whose sets are similar: sketches rule most others out, the whole sets decide."""
-    return _tested(store.settle(_tested(pairs, sets, n, False), "jaccard-likely"), sets, n, True)
+    return _similar_pairs(store.settle(_tested(pairs, sets, n, False), "jaccard-likely"), sets, n)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -420,7 +431,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     comps = components(good)
     more = store.settle(_further(members, comps, sets, n).join(pairs, ["a", "b"], "left_anti"), "jaccard-more")
     if not more.isEmpty():
-        good = good.union(_verified(more, sets, n))
+        good = good.union(_similar_pairs(more, sets, n))
         comps = components(good)
     named = info.join(comps, "sid", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "sid")))
     least = named.where("n > 0").groupBy("comp").agg(F.min("_id").alias("least"))
