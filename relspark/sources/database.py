@@ -606,7 +606,6 @@ class Database(Introspection):
         for c in t.columns:
             if c.generated is None:
                 df = df.withColumn(c.name, F.col(quote(c.name)).cast(c.type) if c.name in cols else F.expr(f"CAST({rewrite(c.default)} AS {c.type})" if c.default else f"CAST(NULL AS {c.type})"))
-        one = Window.orderBy("_pos")  # numbers in input order: a load numbers its rows in one pass
         auto = t.auto_column
         if auto is not None and auto.name in cols:
             base = self._raw(t).agg(F.max(quote(auto.name))).first()[0] or 0
@@ -616,13 +615,25 @@ class Database(Introspection):
             base = self._raw(t).agg(F.max(quote(auto.name))).first()[0] or 0
         df = df.withColumn("_pos", F.monotonically_increasing_id())
         if auto is not None:
-            rank = F.row_number().over(one).cast("long")
+            df, rank = self._numbered(df, t.name)
             df = df.withColumn(auto.name, F.coalesce(F.col(quote(auto.name)), rank + F.lit(base)).cast(auto.type))
         for c in t.columns:
             if c.generated and c.stored:
                 df = df.withColumn(c.name, F.expr(f"CAST({rewrite(c.generated)} AS {c.type})"))
         return df.withColumn(ROWID, F.col("_pos") + F.lit(t.next_id)).select(*(quote(c.name) for c in t.stored), ROWID)
 
+    def _numbered(self, df: DataFrame, name: str) -> tuple[DataFrame, Any]:
+        """``df`` settled, and a gapless number from 1 in the order of ``_pos``: ranks within partitions plus prefix sums of their sizes."""
+        df = self.spark.read.schema(df.schema).parquet(self._write(df, name)).withColumn("_part", F.shiftright("_pos", 33))
+        base, before = [], 0
+        for row in sorted(df.groupBy("_part").count().collect()):  # a number for each partition
+            base.append((row[0], before))
+            before += row[1]
+        if not base:
+            return df, F.lit(0)
+        df = df.join(F.broadcast(self.spark.createDataFrame(base, "_part bigint, _base bigint")), "_part")
+        return df, F.row_number().over(Window.partitionBy("_part").orderBy("_pos")).cast("long") + F.col("_base")
+
     def _store_new(self, t: Table, new: DataFrame, mode: str, update: list[tuple[str, str]]) -> DataFrame:
         """Adds settled rows under a conflict rule; returns the rows that were added or changed."""
         keys, old = t.unique, self._raw(t)
