@@ -28,8 +28,6 @@ UNKNOWN = "und"
 SAMPLE_DOCS, SAMPLE_CHARS = 100, 100_000
 #: Languages that may be learned (the most frequent ones).
 MAX_LANGUAGES = 64
-#: A smaller score means that two languages are as likely: the text's language can't be told.
-MIN_SCORE = 0.02
 #: Distinct words that a worker remembers.
 CACHE_WORDS = 1_500_000
 
@@ -224,7 +222,7 @@ def judge_of(docs: DataFrame, id_col: str, text_col: str, lang_col: str):
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose language can't be told: ``und``, or a score under ``MIN_SCORE``."""
+    """``docs`` without the rows whose language can't be told: ``und``, or two languages need the same bits (score 0)."""
     judge = judge_of(docs, id_col, text_col, lang_col)
     cols = docs.columns
     names = [f"c{i}" for i in range(len(cols))]
@@ -234,7 +232,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, lang, score in judge(b.column(at)):
-                mask = np.asarray([x != UNKNOWN for x in lang.to_pylist()], bool) & (score.to_numpy() >= MIN_SCORE)
+                mask = np.asarray([x != UNKNOWN for x in lang.to_pylist()], bool) & (score.to_numpy() > 0)
                 yield b.slice(i, j - i).filter(pa.array(mask))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema)
