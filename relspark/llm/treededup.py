@@ -30,16 +30,18 @@ from . import textcore as tc
 WINDOW = 13
 #: Lengths of prefixes that split suffixes; the last is the whole window.
 PREFIXES = (1, 2, 4, 8)
+#: Bits of each edge that are dealt. The last stands for the whole path, so any two windows are told apart by 64 bits at least.
+EDGE_BITS = (16, 16, 64)
 
 
 def _edges(items: np.ndarray, at: np.ndarray, window: int) -> list[np.ndarray]:
-    """Hashes of the words of each suffix, an edge of the tree each."""
-    cuts = [0, window // 3, 2 * window // 3, window]
+    """Hashes of the words of each suffix from its start to the end of an edge of the tree, for each edge."""
+    h, done = items[at].copy(), 1
     out = []
-    for a, b in zip(cuts, cuts[1:]):
-        h = items[at + a].copy()
-        for j in range(a + 1, b):
+    for end in (max(1, window // 3), max(1, 2 * window // 3), window):
+        for j in range(done, end):
             h = h * tc.MUL + items[at + j]
+        done = end
         out.append(tc.mix(h))
     return out
 
@@ -87,7 +89,7 @@ def _flags(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFram
             at, _, _ = rp.candidates(s, unit, b.column("data").to_pylist(), whole)
             doc = np.searchsorted(s.offs, at, "right") - 1
             edges = _edges(s.items, at, window)
-            path = tc.mix(edges[0] + tc.MUL * tc.mix(edges[1] + tc.MUL * edges[2]))
+            path = edges[-1]
             some = np.flatnonzero(tc.repeated(path))
             group = np.unique(path[some], return_inverse=True)[1]
             late = rp.not_first(group, ids[doc[some]], None)
@@ -102,11 +104,11 @@ def _flags(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFram
                 h = _prefix(s.items, at[todo], length)
                 route[todo] = h
                 todo = todo[tc.member(h, heavy.value)] if length < window else todo[:0]
-            yield from pack.add((route % tc.U(n)).astype(np.int64), *((e >> tc.U(64 - b)).astype(f"<u{b // 8}") for e, b in zip(edges, (32, 32, 16))), ids[doc], fps[doc], (at - s.offs[doc]).astype(np.uint32))
+            yield from pack.add((route % tc.U(n)).astype(np.int64), *((e >> tc.U(64 - b)).astype(f"<u{b // 8}") for e, b in zip(edges, EDGE_BITS)), ids[doc], fps[doc], (at - s.offs[doc]).astype(np.uint32))
         yield from pack.flush()
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = ex.gather(batches, {0: ["<u4", "<u4", "<u2", "<i8", "<u2", "<u4"], 1: rp.FLAGS})
+        got = ex.gather(batches, {0: [*(f"<u{b // 8}" for b in EDGE_BITS), "<i8", "<u2", "<u4"], 1: rp.FLAGS})
         pack = ex.Packer(n, keys)
         yield from pack.add(rp.doc_part(got[1][0], n), *got[1])
         *edges, ids, fps, pos = got[0]

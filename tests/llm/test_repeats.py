@@ -85,3 +85,12 @@ def test_odd_ids(spark):
     got = sorted((r.n_bytes, r.n_removed) for r in suffixdedup.mark(df).collect())
     n = len(text)
     assert got == [(0, 0), (5, 0), (n, 0), (n, n), (n, n), (n + 2, n)]
+
+
+def test_shared_passage_that_goes_on_differently(spark):
+    from relspark.llm import treededup
+
+    passage = " ".join(f"word{i}" for i in range(52))
+    rows = [(i, f"{passage} " + " ".join(f"own{i}x{j}" for j in range(14))) for i in range(4000)]
+    got = treededup.mark(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_words(rows, 13)
