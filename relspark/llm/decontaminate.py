@@ -9,11 +9,17 @@ distance), and several walks and samples reach the target recall.
 
 Windows as long as an item's pieces (64 characters; all of a shorter item) start at every word of
 the items and of the documents. A leak of d edits has pieces with far fewer, so
-some piece meets its twin with great probability. Document windows that can't
+some piece may meet its twin. Document windows that can't
 be within 4 edits of any piece, as too few of their 8-grams are the items',
 are not embedded. A hit gives the place where the whole item would lie, and the exact edit
 distance there (bit-parallel) decides.
 
+Walks find leaks of many edits by chance only, and edits spread evenly leave no window
+under that filter. So that none is missed, an item that may have k edits is also cut in
+k + 1 parts, at least one of which stands unchanged in a leak. Places of a part's first 8
+bytes are candidates too, if the stretch of up to 6 parts about it is there with fewer edits
+than it has parts; of the stretches of a leak, one always is.
+
 Items are taken in blocks of bounded size, so a large benchmark is many
 passes and never one large broadcast.
 
@@ -39,9 +45,13 @@ EDIT_SHARE = 0.10
 #: Characters of a piece, of a gram, and edits in a piece that the gram filter must let through.
 PIECE, GRAM, PIECE_EDITS = 64, 8, 4
 SHORTEST = 16
-#: Walks, samples of each walk, and positions in a sample; see ``tests`` for the recall they reach.
+#: Walks, samples of each walk, and positions in a sample; what they miss is found by unchanged parts.
 WALKS, SAMPLES, POSITIONS = 6, 4, 14
-#: Bytes of items in a block (their index takes about fifty times that in a worker).
+#: Bytes of a part that are looked up (at most a word of 64 bits), and parts in a stretch (at most 64 bytes).
+SEED, STRETCH = 8, 6
+#: Candidates compared at once.
+CHUNK = 1 << 14
+#: Bytes of items in a block (their index takes about seventy times that in a worker).
 BLOCK_BYTES = 1 << 20
 
 
@@ -93,6 +103,10 @@ class Index:
     tables: list[tuple[np.ndarray, np.ndarray]]  # sorted keys and their pieces, by walk and sample
     item: np.ndarray  # of a piece
     offset: np.ndarray
+    seeds: dict[int, tuple[np.ndarray, ...]]  # by length: sorted bytes, and their stretch, item, and places in both
+    stretch: np.ndarray  # for each byte (7 bits), where a stretch has it
+    size: np.ndarray  # of a stretch
+    spare: np.ndarray  # edits that a stretch may have
 
 
 def grams8(text: np.ndarray) -> np.ndarray:
@@ -103,6 +117,82 @@ def grams8(text: np.ndarray) -> np.ndarray:
     return tc.mix(np.ascontiguousarray(view).view(tc.U)[:, 0])
 
 
+def words_at(text: np.ndarray, size: int) -> np.ndarray:
+    """All runs of ``size`` <= 8 bytes as numbers."""
+    if len(text) < size:
+        return np.zeros(0, tc.U)
+    pad = np.append(text, np.zeros(8 - size, np.uint8))
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(pad, 8)).view(tc.U)[:, 0] & tc._MASK[size]
+
+
+def seeds_of(texts: list[bytes]) -> tuple[dict[int, tuple[np.ndarray, ...]], np.ndarray, np.ndarray, np.ndarray]:
+    """Parts of the items by the length that is looked up, and the stretches that they stand in."""
+    parts: dict[int, list] = {}
+    stretches, spare = [], []
+    for i, t in enumerate(texts):
+        n = int(EDIT_SHARE * len(t)) + 1
+        cut = [len(t) * j // n for j in range(n + 1)]
+        many = -(-n // STRETCH)
+        for k in range(many):
+            a, b = n * k // many, n * (k + 1) // many
+            for j in range(a, b):
+                size = min(SEED, cut[j + 1] - cut[j])
+                word = int.from_bytes(t[cut[j] : cut[j] + size], "little")
+                parts.setdefault(size, []).append((word, len(stretches), i, cut[j] - cut[a], cut[j]))
+            stretches.append(t[cut[a] : cut[b]])
+            spare.append(b - a - 1)
+    seeds = {}
+    for size, rows in parts.items():
+        rows.sort()
+        seeds[size] = (np.array([r[0] for r in rows], tc.U), *(np.array([r[c] for r in rows], np.int64) for c in range(1, 5)))
+    masks = np.zeros((len(stretches), 128), tc.U)
+    for row, t in zip(masks, stretches):
+        for j, c in enumerate(t):
+            row[c & 127] |= tc.U(1 << j)
+    return seeds, masks, np.array(list(map(len, stretches)), np.int64), np.array(spare, np.int64)
+
+
+def close(index: Index, which: np.ndarray, text: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether stretches lie about ``start`` in a text with no more edits than they may have (as ``least_edits``, many at once)."""
+    spare, one = index.spare[which], tc.U(1)
+    score = index.size[which]
+    best, high = score.copy(), (score - 1).astype(tc.U)
+    pv, mv = np.full(len(which), ~tc.U(0)), np.zeros(len(which), tc.U)
+    masks, row = index.stretch.reshape(-1), which * 128
+    first = start - spare
+    for j in range(int((score + 2 * spare).max()) if len(which) else 0):
+        at = first + j
+        eq = masks[row + (text[np.clip(at, 0, len(text) - 1)] & 127)]
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph, mh = mv | ~(xh | pv), pv & xh
+        score = score + (ph >> high & one).astype(np.int64) - (mh >> high & one).astype(np.int64)
+        ph, mh = ph << one, mh << one
+        pv, mv = mh | ~(xv | ph), ph & xv
+        np.minimum(best, score, out=best)
+    return best <= spare
+
+
+def unchanged(index: Index, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Candidates from parts that stand unchanged in a text: where the part is, the item, and where it would begin."""
+    for size, (words, which, item, inner, outer) in index.seeds.items():
+        key = words_at(text, size)
+        mixed = np.unique(tc.mix(words))
+        at = np.flatnonzero(tc.member(tc.mix(key), mixed))
+        a, b = np.searchsorted(words, key[at]), np.searchsorted(words, key[at], "right")
+        ends = np.cumsum(b - a)
+        lo = 0
+        while lo < len(at):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CHUNK, "right")))
+            n = (b - a)[lo:hi]
+            pos = np.repeat(at[lo:hi], n)
+            seed = np.repeat(a[lo:hi] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            ok = close(index, which[seed], text, pos - inner[seed])
+            pos, seed = pos[ok], seed[ok]
+            yield pos, item[seed], pos - outer[seed]
+            lo = hi
+
+
 def build(ids: list, texts: list[bytes]) -> Index:
     piece = max(SHORTEST, min([PIECE, *map(len, texts)]))
     text = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
@@ -119,7 +209,7 @@ def build(ids: list, texts: list[bytes]) -> Index:
             order = np.argsort(key)
             tables.append((key[order], order))
     owned = np.concatenate([grams8(np.frombuffer(t, np.uint8)) for t in texts])
-    return Index(ids, texts, piece, np.unique(owned), tables, item, start - begins[item])
+    return Index(ids, texts, piece, np.unique(owned), tables, item, start - begins[item], *seeds_of(texts))
 
 
 def least_edits(item: bytes, text: bytes, most: int) -> int | None:
@@ -149,9 +239,9 @@ def search(index: Index, buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[in
     """``(document, item id, edits)`` of the leaks in a slice."""
     text, at = fold(buf, offs)
     piece = index.piece
-    g = grams8(text)
-    if not len(g):
+    if not len(text):
         return
+    g = grams8(text)
     # Windows with enough of the items' grams: GRAM grams are lost with each edit.
     hit = np.concatenate([[0], np.cumsum(tc.member(g, index.grams))])
     need = max(1, piece - GRAM + 1 - GRAM * min(PIECE_EDITS, piece // (2 * GRAM)))
@@ -177,13 +267,16 @@ def search(index: Index, buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[in
                 row = np.repeat(rows, n)
                 place = (s[row] - at[d[row]] - index.offset[p]) >> 4  # about where the item begins
                 found.update(zip(d[row].tolist(), index.item[p].tolist(), place.tolist()))
+    for pos, item, begin in unchanged(index, text):
+        d = np.searchsorted(at, pos, "right") - 1
+        found.update(zip(d.tolist(), item.tolist(), (begin - at[d] >> 4).tolist()))
     best: dict[tuple[int, int], int] = {}
     for d, i, place in sorted(found):
         item = index.texts[i]
         most = int(EDIT_SHARE * len(item))
         if best.get((d, i), most + 1) == 0:
             continue
-        a, e = int(at[d]), int(at[d + 1])
+        a, e = int(at[d]), int(at[d + 1]) - 1  # without the blank after the last word
         lo = max(a, a + place * 16 - 2 * most - 8)
         hi = min(e, a + place * 16 + 16 + len(item) + 2 * most + 8)
         edits = least_edits(item, text[lo:hi].tobytes(), most)

@@ -120,6 +120,42 @@ def test_leaks(spark, docs, empty):
     assert leaks(empty, bench).count() == 0 and leaks(docs, bench.limit(0)).count() == 0
 
 
+def searched(items, texts):
+    import numpy as np
+
+    from relspark.llm.decontaminate import build, search
+
+    raw = [t.encode() for t in texts]
+    buf, offs = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum(list(map(len, raw)))])
+    return {(d, i): e for d, i, e in search(build(list(range(len(items))), items), buf, offs)}
+
+
+@pytest.mark.parametrize("n", [3, 15, 20, 40, 80])
+@pytest.mark.parametrize("percent", [2, 4, 6, 8, 10])
+def test_recall_of_edits_by_share(n, percent):
+    from relspark.llm.decontaminate import least_edits
+
+    r = random.Random(n * 100 + percent)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 10))) for _ in range(500)]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [t.encode() for t in (text(n) for _ in range(40)) if len(t) >= 16]
+    texts, want = [], set()
+    for i, item in enumerate(items):
+        for even in (True, False):
+            c, k = list(item.decode()), len(item) * percent // 100
+            first = r.randrange(10)
+            for j in range(k):
+                at = min(len(c) - 1, first + j * len(c) // max(1, k)) if even else r.randrange(len(c))
+                c[at] = "z" if even else r.choice(["z", "", "z" + c[at]])
+            texts.append(f"{text(30)} {''.join(c)} {text(30)}")
+            if least_edits(item, " ".join(texts[-1].split()).encode(), len(item) // 10) is not None:
+                want.add((len(texts) - 1, i))
+    got = searched(items, texts)
+    assert want <= set(got) and len(want) >= len(items)
+    for d, i in got:
+        assert got[d, i] == least_edits(items[i], " ".join(texts[d].split()).encode(), len(items[i]) // 10)
+
+
 def test_pipeline(spark, docs, rows, tmp_path):
     pytest.importorskip("public_tokenizers")
     from corpus_pipeline import STAGES, run
