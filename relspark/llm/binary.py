@@ -47,7 +47,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, uri: str | None = None, id_col
     uri = uri or store.fresh(spark, "tokens")
     src = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_t"))
     if ordered:
-        src = src.repartitionByRange(partitions(spark, parts), "_id").sortWithinPartitions("_id", "_t")
+        src = src.repartitionByRange(parts or partitions(spark), "_id").sortWithinPartitions("_id", "_t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()

@@ -18,8 +18,13 @@ SCHEMA = "p int, kind int, data binary"
 _ARROW = pa.schema([("p", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 
 
-def partitions(spark: SparkSession, wanted: int | None = None) -> int:
-    return int(wanted or spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of text for each partition of an exchange at most; a task holds a few times that.
+PART_BYTES = 256 << 20
+
+
+def partitions(spark: SparkSession, text_bytes: int = 0) -> int:
+    """The session's number of shuffle partitions, or more of them if the texts need it."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes // PART_BYTES))
 
 
 def _murmur_int(k: int, seed: int = 42) -> int:
@@ -48,8 +53,8 @@ def part_keys(n: int) -> np.ndarray:
 class Packer:
     """Gathers columns by partition; ``flush`` yields record batches of blocks."""
 
-    def __init__(self, n: int, keys: np.ndarray, limit: int = 24 << 20):
-        self.n, self.keys, self.limit, self.held, self.bytes = n, keys, limit, [], 0
+    def __init__(self, n: int, keys: np.ndarray, limit: int = 32 << 20):
+        self.n, self.keys, self.limit, self.held, self.bytes = n, keys, max(limit, n << 9), [], 0  # blocks of some hundred bytes at least
 
     def add(self, part: np.ndarray, *cols: np.ndarray, kind: int = 0) -> Iterator[pa.RecordBatch]:
         if len(part):

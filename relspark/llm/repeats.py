@@ -15,8 +15,10 @@ known to repeat without a look, and the suffixes near them are dealt by their
 content, so no task gathers a hot passage; this steers work only, never results.
 Every map task also settles repeats within a slice of its own before it deals.
 
-Documents are told apart by (id, hash of text): rows that repeat both count as
-one document. A null id is the smallest id.
+Documents are told apart by their id and, where an id occurs more than once, by 128
+bits of the text's hash: rows that repeat both count as one document and speak once a
+task. Of rows that share an id only, none is earlier than another. A null id is the
+smallest id; a text that is no number counts as a null id.
 """
 
 from __future__ import annotations
@@ -26,13 +28,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as ex
+from . import store
 from . import textcore as tc
 
 NULL_ID = np.iinfo(np.int64).min
+#: What tells documents apart, in tables and in dealt blocks; slots that ids are hashed to, to name those that occur twice.
+KEY, WHO, SLOTS = ("_id", "_fp", "_fq"), ["<i8", "<i8", "<i8"], 1 << 14
 #: Documents sampled to name hot anchors and prefixes, and the share of them that makes one hot.
 SAMPLE_DOCS, HOT_SHARE = 8192, 0.01
 
@@ -90,42 +95,96 @@ def anchors(s: Slice, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
     return at, g[at]
 
 
-def prepare(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``_id, _fp, _t``: a number for the id, 16 bits of the text's hash, the text."""
+def identity(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column, Column]:
+    """Columns that tell documents apart: a number for the id, and 128 bits of the text's hash (0 where the id occurs once)."""
+    number = F.coalesce(F.col(id_col).try_cast("long"), F.lit(int(NULL_ID)))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID))).alias("_id"), F.shiftright(F.xxhash64(text), 48).cast("int").alias("_fp"), text.alias("_t"))
+    twice = docs.select(number.alias("_id")).groupBy("_id").count().where("count > 1")
+    slots = twice.select(F.pmod(F.xxhash64("_id"), F.lit(SLOTS)).alias("s")).distinct().collect()  # at most SLOTS numbers
+    if not slots:
+        return number, F.lit(0).cast("long"), F.lit(0).cast("long")
+    seen = bytearray(SLOTS)
+    for r in slots:
+        seen[r.s] = 1
+    # Ids that share a slot with a repeated one are hashed too: more bytes, the same result.
+    shared = F.substring(F.lit(bytes(seen)), (F.pmod(F.xxhash64(number), F.lit(SLOTS)) + 1).cast("int"), F.lit(1)) == F.lit(b"\1")
+    return number, F.when(shared, F.xxhash64(text).bitwiseOR(F.lit(1))).otherwise(F.lit(0)).cast("long"), F.when(shared, F.xxhash64(F.lit(1), text)).otherwise(F.lit(0)).cast("long")
 
 
-def fp_of(b: pa.RecordBatch) -> np.ndarray:
-    return b.column("_fp").to_numpy().astype(np.int16).view(np.uint16)
+def prepare(docs: DataFrame, id_col: str, text_col: str, who: tuple[Column, Column, Column]) -> DataFrame:
+    """``_id, _fp, _fq`` of ``identity``, and the text ``_t``."""
+    return docs.select(*(c.alias(n) for c, n in zip(who, KEY)), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Batches of ``prepare`` in slices, with bytes and offsets."""
+def size_of(src: DataFrame) -> tuple[int, int]:
+    """Rows, and bytes of text."""
+    got = src.agg(F.count("*"), F.sum(F.octet_length("_t").cast("long"))).first()
+    return got[0], got[1] or 0
+
+
+Who = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def who_of(b: pa.RecordBatch) -> Who:
+    return tuple(b.column(c).to_numpy() for c in KEY)
+
+
+def pick(who: Who, at: np.ndarray) -> Who:
+    return tuple(c[at] for c in who)
+
+
+def other_doc(who: Who) -> np.ndarray:
+    """Which rows (but the first) are of another document than the row before."""
+    ids, fps, fqs = who
+    return (ids[1:] != ids[:-1]) | (fps[1:] != fps[:-1]) | (fqs[1:] != fqs[:-1])
+
+
+def doc_keys(who: Who) -> tuple[np.ndarray, ...]:
+    """Keys of a lexsort that brings a document's rows together, ids ascending."""
+    ids, fps, fqs = who
+    return (fqs, fps, ids) if fps.any() else (ids,)
+
+
+def _once(b: pa.RecordBatch, seen: set) -> pa.RecordBatch:
+    """Without the rows whose id and text this task had before."""
+    who = who_of(b)
+    at = np.flatnonzero(who[1])
+    if not len(at):
+        return b
+    keep = np.ones(len(b), bool)
+    for k, key in zip(at.tolist(), zip(*(c[at].tolist() for c in who))):
+        keep[k] = key not in seen
+        seen.add(key)
+    return b.filter(pa.array(keep))
+
+
+def _texts(batches: Iterator[pa.RecordBatch], once: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches of ``prepare`` in slices, with bytes and offsets; ``once``: repeated documents once."""
+    seen: set = set()
     for b in batches:
+        b = _once(b, seen) if once else b
         buf, offs = tc.text_buffers(b.column("_t"))
         for i, j in tc.slices(offs):
             yield b.slice(i, j - i), buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
 
 
-def sample_counts(src: DataFrame, values: Callable[[np.ndarray, np.ndarray], np.ndarray], schema_name: str = "h") -> tuple[list, int]:
-    """Hashes found in at least HOT_SHARE of the sampled documents, and the number of documents."""
-    total = src.select("_id").count()
+def sample_counts(src: DataFrame, total: int, values: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list:
+    """Hashes found in at least HOT_SHARE of the sampled documents."""
     if not total:
-        return [], 0
+        return []
     bound = int(min(1.0, SAMPLE_DOCS / total) * (1 << 31))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, buf, offs in _texts(batches):
+        for _, buf, offs in _texts(batches, True):
             h = values(buf, offs)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
-    some = src.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 31)) < bound)
+    some = src.where(F.pmod(F.xxhash64("_id", "_fp"), F.lit(1 << 31)) < bound)
     least = max(3, int(HOT_SHARE * min(total, SAMPLE_DOCS)))
-    return [r.h for r in some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= least).select("h").collect()], total  # at most grams a document / HOT_SHARE
+    return [r.h for r in some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= least).select("h").collect()]  # at most grams a document / HOT_SHARE
 
 
-def hot_anchors(src: DataFrame, unit: Unit) -> np.ndarray:
+def hot_anchors(src: DataFrame, total: int, unit: Unit) -> np.ndarray:
     def values(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         s = open_slice(buf, offs, unit)
         at, h = anchors(s, unit)
@@ -135,69 +194,81 @@ def hot_anchors(src: DataFrame, unit: Unit) -> np.ndarray:
         fresh[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
         return h[order][fresh]
 
-    return np.sort(np.array(sample_counts(src, values)[0], np.int64).view(tc.U))
+    return np.sort(np.array(sample_counts(src, total, values), np.int64).view(tc.U))
 
 
 def copies(src: DataFrame) -> DataFrame:
-    """``_id, _fp`` of documents whose whole text stands under a smaller id too."""
-    keys = src.select("_id", "_fp", F.xxhash64("_t").alias("a"), F.xxhash64(F.lit(1), "_t").alias("b"))
+    """The keys of documents whose whole text stands under a smaller id too."""
+    keys = src.select(*KEY, F.xxhash64("_t").alias("a"), F.xxhash64(F.lit(1), "_t").alias("b"))
     first = keys.groupBy("a", "b").agg(F.min("_id").alias("least"), F.max("_id").alias("most")).where("most > least").select("a", "b", "least")
-    return keys.join(first, ["a", "b"]).where("_id > least").select("_id", "_fp").distinct()
+    first = store.settle(first, "copies")  # no longer dealt by the text: a group of many copies can be split by the join
+    return keys.join(first.hint("merge"), ["a", "b"]).where("_id > least").select(*KEY).distinct()
 
 
 def by_document(replies: DataFrame, n: int, types: list, pack_row: Callable[..., bytes]) -> DataFrame:
-    """Dealt replies ``(id, fp, ...)`` as one row ``_id, _fp, data`` for each document."""
+    """Dealt replies ``(id, fp, fq, ...)`` as one row ``_id, _fp, _fq, data`` for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = ex.gather(batches, {0: types})[0]
         if not len(cols[0]):
             return
-        order = np.lexsort((cols[2], cols[1], cols[0]))
+        order = np.lexsort((cols[3], *doc_keys(cols[:3])))
         cols = [c[order] for c in cols]
-        cut = np.flatnonzero(np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]), True])
+        cut = np.flatnonzero(np.r_[True, other_doc(cols[:3]), True])
         for i in range(0, len(cut) - 1, 4096):
             c = cut[i : i + 4097]
-            data = [pack_row(*(x[a:b] for x in cols[2:])) for a, b in zip(c.tolist(), c[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0][c[:-1]]), pa.array(cols[1][c[:-1]].view(np.int16).astype(np.int32)), pa.array(data, pa.binary())], names=["_id", "_fp", "data"])
+            data = [pack_row(*(x[a:b] for x in cols[3:])) for a, b in zip(c.tolist(), c[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[c[:-1]]) for x in cols[:3]), pa.array(data, pa.binary())], names=[*KEY, "data"])
 
-    return ex.deal(replies, n).mapInArrow(run, "_id long, _fp int, data binary")
+    return ex.deal(replies, n).mapInArrow(run, "_id long, _fp long, _fq long, data binary")
 
 
-def doc_part(ids: np.ndarray, n: int) -> np.ndarray:
-    return (tc.mix(ids.view(tc.U)) % tc.U(n)).astype(np.int64)
+def doc_part(who: Who, n: int) -> np.ndarray:
+    ids, fps, _ = who
+    return (tc.mix(ids.view(tc.U) ^ tc.mix(fps.view(tc.U))) % tc.U(n)).astype(np.int64)
 
 
 def repeating_anchors(src: DataFrame, unit: Unit, hot: np.ndarray, n: int) -> DataFrame:
-    """``_id, _fp, data``: for each document, its anchors that occur elsewhere too (document offsets, unsigned 32 bits)."""
+    """``_id, _fp, _fq, data``: for each document, its anchors that occur elsewhere too (document offsets, unsigned 32 bits).
+
+    Anchors that a slice has twice are known to repeat; one of them asks on behalf of
+    the slice, so what meets in a task grows with the slices and not with the occurrences.
+    """
     keys = ex.part_keys(n)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = ex.Packer(n, keys)
-        for b, buf, offs in _texts(batches):
+        for b, buf, offs in _texts(batches, True):
             s = open_slice(buf, offs, unit)
             at, h = anchors(s, unit)
             doc = np.searchsorted(s.offs, at, "right") - 1
-            ids, fps = b.column("_id").to_numpy()[doc], fp_of(b)[doc]
-            pos = (at - s.offs[doc]).astype(np.uint32)
+            who, pos = pick(who_of(b), doc), (at - s.offs[doc]).astype(np.uint32)
             known = tc.member(h, hot)
-            yield from pack.add(doc_part(ids[known], n), ids[known], fps[known], pos[known], kind=1)
-            rest = ~known
-            yield from pack.add((h[rest] % tc.U(n)).astype(np.int64), (h[rest] >> tc.U(32)).astype(np.uint32), ids[rest], fps[rest], pos[rest])
+            asks = ~known
+            rest = np.flatnonzero(asks)
+            if len(rest):
+                rest = rest[np.argsort(h[rest], kind="stable")]
+                same = h[rest][1:] == h[rest][:-1]
+                asks[rest[1:][same]] = False
+                known[rest[np.r_[False, same] | np.r_[same, False]]] = True
+            yield from pack.add(doc_part(pick(who, known), n), *pick(who, known), pos[known], kind=1)
+            yield from pack.add((h[asks] % tc.U(n)).astype(np.int64), (h[asks] >> tc.U(32)).astype(np.uint32), *pick(who, asks), pos[asks])
         yield from pack.flush()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = ex.gather(batches, {0: ["<u4", "<i8", "<u2", "<u4"], 1: ["<i8", "<u2", "<u4"]})
+        got = ex.gather(batches, {0: ["<u4", *WHO, "<u4"], 1: [*WHO, "<u4"]})
         pack = ex.Packer(n, keys)
-        yield from pack.add(doc_part(got[1][0], n), *got[1])
-        h, ids, fps, pos = got[0]
+        yield from pack.add(doc_part(got[1][:3], n), *got[1])
+        h, *who, pos = got[0]
         order = np.argsort(h)
         same = h[order][1:] == h[order][:-1]
         twice = order[np.r_[False, same] | np.r_[same, False]] if len(h) else order
-        yield from pack.add(doc_part(ids[twice], n), ids[twice], fps[twice], pos[twice])
+        who = pick(who, twice)
+        yield from pack.add(doc_part(who, n), *who, pos[twice])
         yield from pack.flush()
 
     found = ex.deal(src.mapInArrow(find, ex.SCHEMA), n).mapInArrow(answer, ex.SCHEMA)
-    return by_document(found, n, ["<i8", "<u2", "<u4"], lambda pos: pos.tobytes())
+    return by_document(found, n, [*WHO, "<u4"], lambda pos: pos.tobytes())
 
 
 def candidates(s: Slice, unit: Unit, data: list[bytes | None], whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,53 +293,47 @@ def candidates(s: Slice, unit: Unit, data: list[bytes | None], whole: np.ndarray
     return start, at, g[at]
 
 
-def refine(digits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Most-significant-digit passes: indices that agree with another in all digits, and their groups.
-
-    An index that stands alone after a digit takes no part in later passes.
-    """
-    active = np.arange(len(digits[0]))
-    group = np.zeros(len(active), tc.U)
-    for d in digits:
-        key = tc.mix(d[active] + group * tc.MUL) if group.any() else d[active]
-        order = np.argsort(key)
-        key = key[order]
-        same = key[1:] == key[:-1]
-        kept = np.r_[False, same] | np.r_[same, False] if len(key) else np.zeros(0, bool)
-        active, key = active[order][kept], key[kept]
-        group = np.cumsum(np.r_[False, key[1:] != key[:-1]]).astype(tc.U) if len(key) else key
-    return active, group
-
-
-def not_first(group: np.ndarray, ids: np.ndarray, pos: np.ndarray | None) -> np.ndarray:
-    """Of grouped windows, those that are later than their group's earliest."""
+def not_first(group: np.ndarray, who: Who, pos: np.ndarray | None) -> np.ndarray:
+    """Of grouped windows, those of a larger id than their group's least; with ``pos`` also those that an equal one precedes in their document."""
     if not len(group):
         return np.zeros(0, bool)
-    order = np.lexsort((ids, group) if pos is None else (pos, ids, group))
-    g, i = group[order], ids[order]
+    order = np.lexsort((*([] if pos is None else [pos]), *doc_keys(who), group))
+    g, own = group[order], pick(who, order)
     head = np.r_[True, g[1:] != g[:-1]]
-    first = np.flatnonzero(head)[np.cumsum(head) - 1]
-    late = i > i[first]
+    ids = own[0]
+    late = ids > ids[np.flatnonzero(head)[np.cumsum(head) - 1]]
     if pos is not None:
         p = pos[order]
-        late |= (i == i[first]) & (p > p[first])
+        doc = head | np.r_[True, other_doc(own)]
+        late |= p > p[np.flatnonzero(doc)[np.cumsum(doc) - 1]]
     out = np.zeros(len(group), bool)
     out[order] = late
     return out
 
 
-FLAGS = ["<i8", "<u2", "<u4", "<u4"]  # id, hash of text, start, windows in a row
+FLAGS = [*WHO, "<u4", "<u4"]  # the document, start, windows in a row
 
 
-def flag_runs(ids: np.ndarray, fps: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+def flag_runs(who: Who, pos: np.ndarray) -> tuple[np.ndarray, ...]:
     """Flagged windows as runs of windows that follow one another."""
-    if not len(ids):
-        return ids, fps, pos.astype(np.uint32), pos.astype(np.uint32)
-    order = np.lexsort((pos, fps, ids))
-    ids, fps, pos = ids[order], fps[order], pos[order].astype(np.int64)
-    cut = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (fps[1:] != fps[:-1]) | (pos[1:] > pos[:-1] + 1)])
-    last = np.r_[cut[1:], len(ids)] - 1
-    return ids[cut], fps[cut], pos[cut].astype(np.uint32), (pos[last] - pos[cut] + 1).astype(np.uint32)
+    if not len(pos):
+        return (*who, pos.astype(np.uint32), pos.astype(np.uint32))
+    order = np.lexsort((pos, *doc_keys(who)))
+    who, pos = pick(who, order), pos[order].astype(np.int64)
+    cut = np.flatnonzero(np.r_[True, other_doc(who) | (pos[1:] > pos[:-1] + 1)])
+    last = np.r_[cut[1:], len(pos)] - 1
+    return (*pick(who, cut), pos[cut].astype(np.uint32), (pos[last] - pos[cut] + 1).astype(np.uint32))
+
+
+def with_part(runs: tuple[np.ndarray, ...], n: int) -> tuple[np.ndarray, ...]:
+    """Runs with the partition of their documents before them, as ``Packer.add`` takes them."""
+    return (doc_part(runs[:3], n), *runs)
+
+
+def whole_copies(who: Who, size: np.ndarray, whole: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """One run of all windows for each document that copies an earlier one."""
+    at = np.flatnonzero(whole & (size >= window))
+    return (*pick(who, at), np.zeros(len(at), np.uint32), (size[at] - window + 1).astype(np.uint32))
 
 
 def flags_by_document(found: DataFrame, n: int) -> DataFrame:
@@ -280,14 +345,16 @@ def removed(data: bytes | None, total: int, window: int) -> np.ndarray:
     if not data:
         return np.zeros(total, bool)
     pos, run = np.frombuffer(data, "<u4").reshape(2, -1).astype(np.int64)
+    if (pos + run + window - 1 > total).any():
+        raise ValueError("a flagged window lies outside its document")
     step = np.zeros(total + 1, np.int32)
     np.add.at(step, pos, 1)
-    np.add.at(step, np.minimum(pos + run + window - 1, total), -1)
+    np.add.at(step, pos + run + window - 1, -1)
     return np.cumsum(step[:-1]) > 0
 
 
 def joined(src: DataFrame, unit: Unit, hot: np.ndarray, n: int) -> DataFrame:
-    """Documents with repeating anchors: ``_id, _fp, _t, data, whole`` (whole: a copy of an earlier text)."""
+    """Documents with repeating anchors: ``prepare``'s columns, ``data`` and ``whole`` (a copy of an earlier text)."""
     known = repeating_anchors(src, unit, hot, n)
     twins = copies(src).withColumn("whole", F.lit(True))
-    return src.join(known.hint("merge"), ["_id", "_fp"]).join(twins.hint("merge"), ["_id", "_fp"], "left").select("_id", "_fp", "_t", "data", F.coalesce("whole", F.lit(False)).alias("whole"))
+    return src.join(known.hint("merge"), list(KEY)).join(twins.hint("merge"), list(KEY), "left").select(*KEY, "_t", "data", F.coalesce("whole", F.lit(False)).alias("whole"))

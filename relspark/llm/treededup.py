@@ -2,21 +2,25 @@
 
 A suffix here is a window of words. Suffixes are split by prefixes of variable
 length: a prefix that too many sampled documents share is lengthened, so that a
-group fits in a task. In each group the suffix tree is grown by elastic ranges
-(several words an edge); a node with one leaf is never grown further. Nodes at
-the window's depth with more than one leaf are the repeats, and a leaf below such
-a node is removed if another leaf's document has a smaller id.
+group fits in a task. From each group a suffix tree is built by elastic ranges (several
+words an edge, named by hashes of the path from the root): its leaves are the sorted
+suffixes, its internal nodes the ranges of leaves that agree further than their
+surroundings. Nodes as deep as the window are the repeats; in a document, the union of
+the windows below such nodes gives its maximal repeats, and a leaf below such a node is
+removed if another leaf's document has a smaller id.
 
 Defined cases: a null or empty text has no words; texts shorter than the window
 stay whole; rows that repeat an id and text are one document and get one answer each;
-a null id is smaller than all others; an empty table gives no rows; columns other
-than id and text are not read by ``mark`` and are kept by ``clean``.
+rows that share an id or are both without one never remove from each other; a null id is
+smaller than all others; an empty table gives no rows; columns other than id and text are
+not read by ``mark`` and are kept by ``clean``, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +38,16 @@ PREFIXES = (1, 2, 4, 8)
 EDGE_BITS = (16, 16, 64)
 
 
+def _ends(window: int) -> list[int]:
+    """Depths where edges of the tree end."""
+    return [max(1, window // 3), max(1, 2 * window // 3), window]
+
+
 def _edges(items: np.ndarray, at: np.ndarray, window: int) -> list[np.ndarray]:
     """Hashes of the words of each suffix from its start to the end of an edge of the tree, for each edge."""
     h, done = items[at].copy(), 1
     out = []
-    for end in (max(1, window // 3), max(1, 2 * window // 3), window):
+    for end in _ends(window):
         for j in range(done, end):
             h = h * tc.MUL + items[at + j]
         done = end
@@ -46,6 +55,53 @@ def _edges(items: np.ndarray, at: np.ndarray, window: int) -> list[np.ndarray]:
     return out
 
 
+@dataclass
+class Subtree:
+    """A suffix tree down to the window: leaves in their order, and internal nodes as ranges of leaves."""
+
+    leaf: np.ndarray  # the suffix of each leaf
+    depth: np.ndarray  # of each internal node, in words
+    left: np.ndarray  # its first leaf, and the one after its last
+    right: np.ndarray
+    parent: np.ndarray  # the next node above it; -1 below the root
+
+    def repeats(self, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """Leaves below the nodes that are ``window`` deep, and the node of each."""
+        deep = np.flatnonzero(self.depth >= window)
+        size = self.right[deep] - self.left[deep]
+        at = np.repeat(self.left[deep] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return self.leaf[at], np.repeat(deep, size)
+
+
+def subtree(edges: list[np.ndarray], ends: list[int]) -> Subtree:
+    """The tree of suffixes from the hashes of their paths to the depths ``ends``."""
+    leaf = np.lexsort(edges[::-1]) if len(edges[0]) else np.zeros(0, np.int64)
+    same, agree = np.ones(max(0, len(leaf) - 1), bool), np.zeros(max(0, len(leaf) - 1), np.int8)
+    for e in edges:
+        e = e[leaf]
+        same &= e[1:] == e[:-1]
+        agree += same
+    depth, left, right, parent = [], [], [], []
+    above, nodes = np.full(len(leaf), -1), 0  # the deepest node so far over each leaf
+    for level, end in enumerate(ends, 1):
+        begin, stop = tc.runs(agree >= level)
+        if len(begin):
+            branches = np.minimum.reduceat(agree, begin) if level < len(ends) else np.full(len(begin), level)
+            # reduceat runs on to the next range, through neighbours that agree less
+            low = [int(agree[x:y].min()) for x, y in zip(begin[branches < level].tolist(), stop[branches < level].tolist())]
+            branches[branches < level] = low
+            own = branches == level  # the others branch further down only: no node here
+            begin, stop = begin[own], stop[own] + 1
+            depth.append(np.full(len(begin), end))
+            left.append(begin)
+            right.append(stop)
+            parent.append(above[begin])
+            size = stop - begin
+            above[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())] = np.repeat(nodes + np.arange(len(begin)), size)
+            nodes += len(begin)
+    return Subtree(leaf, *(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (depth, left, right, parent)))
+
+
 def _prefix(items: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     h = items[at].copy()
     for j in range(1, n):
@@ -53,7 +109,7 @@ def _prefix(items: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return tc.mix(h + tc.U(n))
 
 
-def _heavy_prefixes(src: DataFrame, window: int) -> np.ndarray:
+def _heavy_prefixes(src: DataFrame, total: int, window: int) -> np.ndarray:
     def values(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         s = rp.open_slice(buf, offs, rp.Unit(True, window, 5))
         out = []
@@ -66,69 +122,90 @@ def _heavy_prefixes(src: DataFrame, window: int) -> np.ndarray:
                 out.append(h[one])
         return np.concatenate(out) if out else np.zeros(0, tc.U)
 
-    return np.sort(np.array(rp.sample_counts(src, values)[0], np.int64).view(tc.U))
+    return np.sort(np.array(rp.sample_counts(src, total, values), np.int64).view(tc.U))
 
 
-def _flags(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+def _flags(docs: DataFrame, id_col: str, text_col: str, who: tuple, window: int) -> DataFrame:
     spark = docs.sparkSession
-    n, unit = ex.partitions(spark), rp.Unit(True, window, max(1, (window + 1) // 3 + 1))
-    keys = ex.part_keys(n)
-    src = rp.prepare(docs, id_col, text_col)
-    hot = spark.sparkContext.broadcast(rp.hot_anchors(src, unit))
-    heavy = spark.sparkContext.broadcast(_heavy_prefixes(src, window))
+    src = rp.prepare(docs, id_col, text_col, who)
+    total, size = rp.size_of(src)
+    n, unit = ex.partitions(spark, size), rp.Unit(True, window, max(1, (window + 1) // 3 + 1))
+    keys, kinds = ex.part_keys(n), [f"<u{b // 8}" for b in EDGE_BITS]
+    hot = spark.sparkContext.broadcast(rp.hot_anchors(src, total, unit))
+    heavy = spark.sparkContext.broadcast(_heavy_prefixes(src, total, window))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = ex.Packer(n, keys)
-        for b, buf, offs in rp._texts(batches):
+        for b, buf, offs in rp._texts(batches, True):
             s = rp.open_slice(buf, offs, unit)
-            whole = b.column("whole").to_numpy(zero_copy_only=False)
-            ids, fps = b.column("_id").to_numpy(), rp.fp_of(b)
-            size = np.diff(s.offs)
-            all_of = np.flatnonzero(whole & (size >= window))
-            yield from pack.add(rp.doc_part(ids[all_of], n), ids[all_of], fps[all_of], np.zeros(len(all_of), np.uint32), (size[all_of] - window + 1).astype(np.uint32), kind=1)
+            whole, own = b.column("whole").to_numpy(zero_copy_only=False), rp.who_of(b)
+            yield from pack.add(*rp.with_part(rp.whole_copies(own, np.diff(s.offs), whole, window), n), kind=1)
             at, _, _ = rp.candidates(s, unit, b.column("data").to_pylist(), whole)
             doc = np.searchsorted(s.offs, at, "right") - 1
             edges = _edges(s.items, at, window)
-            path = edges[-1]
-            some = np.flatnonzero(tc.repeated(path))
-            group = np.unique(path[some], return_inverse=True)[1]
-            late = rp.not_first(group, ids[doc[some]], None)
-            gone = some[late]  # an earlier document of this slice has it
-            yield from pack.add(*_with_part(rp.flag_runs(ids[doc[gone]], fps[doc[gone]], at[gone] - s.offs[doc[gone]]), n), kind=1)
-            stay = np.ones(len(at), bool)
-            stay[gone] = False
-            at, doc, edges = at[stay], doc[stay], [e[stay] for e in edges]
+            gone = _here_before(s.items, at, edges[-1], rp.pick(own, doc), window)  # an earlier document of this slice has it
+            yield from pack.add(*rp.with_part(rp.flag_runs(rp.pick(own, doc[gone]), at[gone] - s.offs[doc[gone]]), n), kind=1)
+            at, doc, edges = at[~gone], doc[~gone], [e[~gone] for e in edges]
             route = np.zeros(len(at), tc.U)
             todo = np.arange(len(at))
             for length in (*(p for p in PREFIXES if p < window), window):
                 h = _prefix(s.items, at[todo], length)
                 route[todo] = h
                 todo = todo[tc.member(h, heavy.value)] if length < window else todo[:0]
-            yield from pack.add((route % tc.U(n)).astype(np.int64), *((e >> tc.U(64 - b)).astype(f"<u{b // 8}") for e, b in zip(edges, EDGE_BITS)), ids[doc], fps[doc], (at - s.offs[doc]).astype(np.uint32))
+            yield from pack.add((route % tc.U(n)).astype(np.int64), *((e >> tc.U(64 - b)).astype(k) for e, b, k in zip(edges, EDGE_BITS, kinds)), *rp.pick(own, doc), (at - s.offs[doc]).astype(np.uint32))
         yield from pack.flush()
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = ex.gather(batches, {0: [*(f"<u{b // 8}" for b in EDGE_BITS), "<i8", "<u2", "<u4"], 1: rp.FLAGS})
+        got = ex.gather(batches, {0: [*kinds, *rp.WHO, "<u4"], 1: rp.FLAGS})
         pack = ex.Packer(n, keys)
-        yield from pack.add(rp.doc_part(got[1][0], n), *got[1])
-        *edges, ids, fps, pos = got[0]
-        leaf, node = rp.refine([e.astype(tc.U) for e in edges])
-        leaf = leaf[rp.not_first(node, ids[leaf], None)]
-        yield from pack.add(*_with_part(rp.flag_runs(ids[leaf], fps[leaf], pos[leaf]), n))
+        yield from pack.add(*rp.with_part(tuple(got[1]), n))
+        edges, own, pos = got[0][: len(kinds)], tuple(got[0][len(kinds) : -1]), got[0][-1]
+        leaf, node = subtree(edges, _ends(window)).repeats(window)
+        leaf = leaf[rp.not_first(node, rp.pick(own, leaf), None)]
+        yield from pack.add(*rp.with_part(rp.flag_runs(rp.pick(own, leaf), pos[leaf]), n))
         yield from pack.flush()
 
     found = ex.deal(rp.joined(src, unit, hot.value, n).mapInArrow(suffixes, ex.SCHEMA), n).mapInArrow(grow, ex.SCHEMA)
     return rp.flags_by_document(found, n)
 
 
-def _with_part(runs: tuple[np.ndarray, ...], n: int) -> tuple[np.ndarray, ...]:
-    return (rp.doc_part(runs[0], n), *runs)
+def _here_before(items: np.ndarray, at: np.ndarray, path: np.ndarray, who: rp.Who, window: int) -> np.ndarray:
+    """Which suffixes an earlier document of the slice has too, compared word by word."""
+    gone = np.zeros(len(at), bool)
+    some = np.flatnonzero(tc.repeated(path))
+    if len(some):
+        _, head, group = np.unique(path[some], return_index=True, return_inverse=True)
+        like = at[some[head]][group]
+        same = np.ones(len(some), bool)
+        for j in range(window):
+            same &= items[at[some] + j] == items[like + j]
+        some, group = some[same], group[same]
+        gone[some[rp.not_first(group, rp.pick(who, some), None)]] = True
+    return gone
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    flags = _flags(docs, id_col, text_col, window)
-    named = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)), F.coalesce(F.col(id_col).cast("long"), F.lit(int(rp.NULL_ID))).alias("_id"), F.shiftright(F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 48).cast("int").alias("_fp"))
-    return named.join(flags.hint("merge"), ["_id", "_fp"], "left")
+    who = rp.identity(docs, id_col, text_col)
+    flags = _flags(docs, id_col, text_col, who, window)
+    named = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)), *(c.alias(k) for c, k in zip(who, rp.KEY)))
+    return named.join(flags.hint("merge"), list(rp.KEY), "left")
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """Maximal repeats that a document of a smaller id has too: ``id, start, n_words``, a row for each and for each row of ``docs``."""
+    slim = docs.select(F.col(id_col).alias("_i"), F.col(text_col).cast("string").alias("_x"))
+    df = _marked(slim, "_i", "_x", window).where("data is not null").select("c0", F.coalesce("c1", F.lit("")).alias("_t"), "data")
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, buf, offs in rp._texts(batches):
+            total = np.diff(tc.word_bounds(buf, offs)[2]).tolist()
+            found = [tc.runs(rp.removed(d, k, window)) for d, k in zip(b.column("data").to_pylist(), total)]
+            row = np.repeat(np.arange(len(found)), [len(x) for x, _ in found])
+            first, last = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in ([x for x, _ in found], [y for _, y in found]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(first), pa.array(last - first)], names=[id_col, "start", "n_words"])
+
+    return df.mapInArrow(run, f"`{id_col}` {kind}, start long, n_words long")
 
 
 def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
