@@ -8,8 +8,9 @@ Parts are ranges of the document id, so the whole is in ascending order, and a
 part's base is the prefix sum of the lengths before it.
 
 Defined cases: a null or empty text is a document of the end id only; null ids
-come first and rows that repeat an id stand next to each other, ordered by text;
-an empty table gives no parts; other columns are not read.
+come first and rows that repeat an id stand next to each other, ordered by a hash of the
+text (so that an id with many rows can be dealt to several parts); an empty table gives no
+parts; other columns are not read. Ids are numbers; a text id that is none counts as null.
 """
 
 from __future__ import annotations
@@ -41,16 +42,17 @@ class TokenFiles:
     parts: list[tuple[int, int, int, int, int]]  # part, documents, tokens, documents before, tokens before
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, uri: str | None = None, id_col: str = "doc_id", text_col: str = "text", end: int = END_ID, parts: int | None = None, ordered: bool = True) -> TokenFiles:
-    """Writes the files; unless ``ordered``, parts are the input's own partitions and no text is shuffled."""
+def write_tokens(docs: DataFrame, tokenizer: str, uri: str | None = None, id_col: str = "doc_id", text_col: str = "text", end: int = END_ID, parts: int | None = None, ordered: bool = True, marks: bool = True) -> TokenFiles:
+    """Writes the files; unless ``ordered``, parts are the input's own partitions and no text is shuffled. ``marks``: as in ``tokens``."""
     spark = docs.sparkSession
     uri = uri or store.fresh(spark, "tokens")
-    src = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_t"))
+    src = docs.select(F.col(id_col).try_cast("long").alias("_id"), F.col(text_col).cast("string").alias("_t"))
     if ordered:
-        src = src.repartitionByRange(parts or partitions(spark), "_id").sortWithinPartitions("_id", "_t")
+        size = src.agg(F.sum(F.octet_length("_t").cast("long"))).first()[0] or 0
+        src = src.withColumn("_k", F.xxhash64("_t")).repartitionByRange(parts or partitions(spark, size), "_id", "_k").sortWithinPartitions("_id", "_k", "_t").select("_id", "_t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer, marks), TaskContext.get().partitionId()
         kind = np.dtype("<u2" if enc.small else "<u4")
         ids, sizes = [], []
 

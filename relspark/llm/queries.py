@@ -76,7 +76,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .binary import write_tokens
     from .tokencount import scan_counts, with_ids
 
-    files = write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end=SEPARATOR, ordered=False)
+    files = write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end=SEPARATOR, ordered=False, marks=False)
     names = [f"{files.uri}/part-{p[0]:06d}" for p in files.parts]
     return with_ids(scan_counts(spark, [f"{n}.bin" for n in names], files.dtype, SEPARATOR), [f"{n}.ids" for n in names])
 

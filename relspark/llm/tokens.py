@@ -5,6 +5,10 @@ follows a non-space, and between an ASCII letter and ASCII punctuation (other
 than the apostrophe of contractions). Cutting a text there and encoding the
 pieces one by one therefore gives the ids of the whole text; each distinct piece
 is encoded by the tokenizers library once per worker and its ids are reused.
+
+Added tokens (such as an end-of-text mark) are found by the library before it splits, so
+a text that holds the literal of one is encoded whole. With ``marks=False`` such a
+literal is ordinary text and never becomes the mark's id.
 """
 
 from __future__ import annotations
@@ -32,12 +36,15 @@ _LONG = 96
 class Encoder:
     """Ids of slices of documents by a tokenizer file, with a memory of pieces."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, marks: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not marks
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: Lower-cased literals that the library looks for in a text.
+        self.literals = sorted({t.content.lower().encode() for t in added if marks or not t.special})
         normalizer = self.tokenizer.normalizer
         #: The tokenizer lowers case and drops white space itself: then pieces needn't differ in them.
         self.folds = normalizer is not None and "Lowercase" in str(normalizer)
@@ -65,11 +72,42 @@ class Encoder:
         place = np.searchsorted(self.keys, keys)
         self.keys, self.at, self.size = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.size, place, size)
 
+    def _marked(self, buf: np.ndarray, offs: np.ndarray) -> list[int]:
+        """Documents that may hold the literal of an added token."""
+        found: set[int] = set()
+        low = tc.lower_ascii(buf).tobytes() if self.literals else b""
+        for literal in self.literals:
+            at = low.find(literal)
+            while at >= 0:
+                d = int(np.searchsorted(offs, at, "right")) - 1
+                found.add(d)
+                at = low.find(literal, int(offs[d + 1]))
+        return sorted(found)
+
     def encode(self, buf: np.ndarray, offs: np.ndarray, end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, offsets)``: uint32 ids of all documents, each closed by ``end``."""
+        marked = self._marked(buf, offs)
+        if not marked:
+            return self._encode(buf, offs, end)
+        parts, sizes, at = [], [], 0
+        for d in [*marked, len(offs) - 1]:
+            if d > at:
+                ids, cut = self._encode(buf[offs[at] : offs[d]], offs[at : d + 1] - offs[at], end)
+                parts.append(ids)
+                sizes.append(np.diff(cut))
+            if d < len(offs) - 1:  # whole, as the library does it
+                ids = self.tokenizer.encode(buf[offs[d] : offs[d + 1]].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids
+                parts.append(np.array(ids + ([] if end is None else [end]), np.uint32))
+                sizes.append(np.array([len(parts[-1])], np.int64))
+            at = d + 1
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+    def _encode(self, buf: np.ndarray, offs: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         n_docs = len(offs) - 1
-        if self.folds:
-            buf = tc.lower_ascii(buf)
+        if self.folds and len(buf):
+            # A capital before a byte of another script may compose with it otherwise than the small letter does.
+            plain = np.append(buf[1:] < 0x80, True)
+            buf = np.where(plain, tc.lower_ascii(buf), buf)
         cut = np.zeros(len(buf) + 1, bool)
         if len(buf) > 1:
             prev, cur = buf[:-1], buf[1:]
@@ -114,11 +152,11 @@ class Encoder:
         return out, doc_offs
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, marks: bool = True) -> Encoder:
     """The worker's own encoder of a file; kept for later tasks of the worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, marks) not in _ENCODERS:
+        _ENCODERS[path, marks] = Encoder(path, marks)
+    return _ENCODERS[path, marks]

@@ -14,9 +14,9 @@ P = pytest.importorskip("public_tokenizers")
 def ids_of(rows):
     from tokenizers import Tokenizer
 
-    def run(name):
+    def run(name, marks=True):
         t = Tokenizer.from_file(P.path(name))
-        t.encode_special_tokens = True
+        t.encode_special_tokens = not marks
         return {r[0]: t.encode(r[1] or "", add_special_tokens=False).ids for r in rows}
 
     return run
@@ -68,13 +68,45 @@ def test_token_files(spark, docs, rows, empty, ids_of, crc):
     assert read_tokens(spark, write_tokens(empty, P.path("byte_bpe_50k.json"))).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_equals_the_library(name):
+    """Short strings of letters, marks, white space, punctuation and literals, whole batches at a time."""
+    import random
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from relspark.llm.tokens import Encoder
+
+    r = random.Random(4)
+    atoms = [*"abTWYJHtwyjhKkIi01", *" \t\n\r\x0b\x0c", *"'.,<>|=#", "'s", "'LL", "it's", "\u030a", "\u0308", "\u030c", "\u0331", "\u0338", "\u0301", "\u0327", "é", "É", "ß", "İ", "\u212a", "\u00a0", "\u0085", "\u2028", "漢", "字", "ก", "\U0001f600", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|endof", "text|>"]
+    whole, own = Tokenizer.from_file(P.path(name)), Encoder(P.path(name))
+    for _ in range(100):
+        texts = ["".join(r.choice(atoms) for _ in range(r.randrange(0, 9))) for _ in range(200)]
+        raw = [t.encode() for t in texts]
+        offs = np.concatenate([[0], np.cumsum(list(map(len, raw)))])
+        ids, at = own.encode(np.frombuffer(b"".join(raw), np.uint8), offs)
+        for t, a, e, want in zip(texts, at, at[1:], whole.encode_batch(texts, add_special_tokens=False)):
+            assert ids[a:e].tolist() == [*want.ids, 2], repr(t)
+
+
 def test_token_files_odd_ids(spark):
     from relspark.llm.binary import read_tokens, write_tokens
 
     df = spark.createDataFrame([(None, "b"), (5, "x y"), (5, "a"), (None, None), (3, "")], "doc_id long, text string")
     got = read_tokens(spark, write_tokens(df, P.path("byte_bpe_50k.json"))).orderBy("start").collect()
     assert [r.doc_id for r in got] == [None, None, 3, 5, 5]
-    assert [r.n_tokens for r in got] == [1, 2, 1, 2, 3]
+    assert sorted(r.n_tokens for r in got[:2]) == [1, 2] and got[2].n_tokens == 1 and sorted(r.n_tokens for r in got[3:]) == [2, 3]
+
+
+def test_an_id_of_many_rows_is_dealt_to_several_parts(spark):
+    from relspark.llm.binary import read_tokens, write_tokens
+
+    df = spark.createDataFrame([(None, f"text {i}") for i in range(900)] + [(5, "again")] * 20, "doc_id long, text string").repartition(3)
+    files = write_tokens(df, P.path("byte_bpe_50k.json"), parts=6)
+    got = read_tokens(spark, files).orderBy("start").collect()
+    assert max(p[1] for p in files.parts) < 600 and [r.doc_id for r in got] == [None] * 900 + [5] * 20
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
 
 
 @pytest.mark.parametrize("ordered", [True, False])
@@ -82,12 +114,12 @@ def test_counts_over_blocks(spark, docs, ids_of, ordered):
     from relspark.llm.binary import write_tokens
     from relspark.llm.tokencount import scan_counts, with_ids
 
-    files = write_tokens(docs, P.path("byte_bpe_50k.json"), end=50256, ordered=ordered)
+    files = write_tokens(docs, P.path("byte_bpe_50k.json"), end=50256, ordered=ordered, marks=False)
     names = [f"{files.uri}/part-{p[0]:06d}" for p in files.parts]
     for block in (7, 64, 1 << 20):
         counts = scan_counts(spark, [f"{n}.bin" for n in names], files.dtype, 50256, block)
         got = {r.doc_id: r.n_tokens for r in with_ids(counts, [f"{n}.ids" for n in names]).collect()}
-        assert got == {i: len(x) for i, x in ids_of("byte_bpe_50k.json").items()}
+        assert got == {i: len(x) for i, x in ids_of("byte_bpe_50k.json", False).items()}
 
 
 def test_counts_unclosed(spark, tmp_path):
@@ -135,6 +167,31 @@ def test_packing(docs, rows, empty, ids_of, crc, targets, window):
     assert pack(empty, P.path("word_bpe_49k.json")).count() == 0
 
 
+@pytest.mark.parametrize("targets", [None, {"s1": 100, "s2": 1, **{f"thin{i}": 0.001 for i in range(300)}}])
+def test_packing_many_thin_sources(spark, targets):
+    from relspark.llm.packing import pack
+
+    rows = [(i, "some words " * (i % 9), None if i % 50 == 7 else "s1" if i % 3 else f"thin{i % 300}" if i % 2 else "s2") for i in range(1500)] + [(None, None, None), (1, "", "s2"), (1, "", "s2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = pack(df, P.path("word_bpe_49k.json"), 64, targets).collect()
+    by_seq = defaultdict(list)
+    for r in got:
+        by_seq[r.sequence_id].append((r.offset, r.length, r.queue))
+    for k, p in by_seq.items():
+        at = 0
+        for a, n, _ in sorted(p, key=lambda x: x[:2]):
+            assert a == at and n > 0
+            at += n
+        assert at == 64 or k == max(by_seq)
+    assert sum(r.length for r in got) == sum((i or 0) % 9 * 2 + 1 if t else 1 for i, t, _ in rows) and sorted(by_seq) == list(range(len(by_seq)))
+    if targets is None:  # the thin sources' tokens are spread over the windows
+        with_thin = sum(any((q or "").startswith("thin") for _, _, q in p) for p in by_seq.values())
+        assert with_thin >= 0.9 * len(by_seq)
+    else:  # no target: only when all others are empty
+        first = min(k for k, p in by_seq.items() if any(q is None for _, _, q in p))
+        assert all(q is None for k, p in by_seq.items() if k > first for _, _, q in p)
+
+
 def test_sharding(spark, docs, rows, empty):
     from relspark.llm.sharding import shard
 
@@ -161,3 +218,22 @@ def test_sharding_splits_a_group_that_fills_shards(spark):
     got = shard(df, 8).groupBy("shard").agg({"size": "sum", "slot": "count"}).collect()
     sizes = [r["sum(size)"] for r in got]
     assert len(got) == 8 and max(sizes) <= 1.1 * sum(sizes) / 8
+
+
+def test_sharding_splits_rows_that_repeat_id_and_text(spark):
+    from relspark.llm.sharding import shard
+
+    df = spark.createDataFrame([(7, "hot text of many rows")] * 4000 + [(i, f"text {i}") for i in range(390)], "doc_id long, text string")
+    got = shard(df, 16).groupBy("shard").agg({"size": "sum", "slot": "count"}).collect()
+    sizes = [r["sum(size)"] for r in got]
+    assert len(got) == 16 and max(sizes) <= 1.05 * sum(sizes) / 16 and min(sizes) >= 0.95 * sum(sizes) / 16
+
+
+def test_sharding_counts_tokens_of_scripts_without_blanks(spark):
+    from pyspark.sql import functions as F
+
+    from relspark.llm.sharding import TOKEN
+
+    rows = [("two words", 2), ("漢字 かな", 4), ("mixed漢word", 3), ("", 0), ("a\tb\nc", 3)]
+    got = spark.createDataFrame(rows, "t string, n int").select(F.regexp_count("t", F.lit(TOKEN)).alias("got"), "n").collect()
+    assert all(r.got == r.n for r in got)
