@@ -9,10 +9,18 @@ any window is a formula, and no task waits for another: a document's place
 follows from its offset in its queue, which a prefix sum over partitions gives.
 Queues that run dry end a phase; the others then share the windows anew.
 
+A source that is due less than two tokens a window is thin: all thin sources share one
+queue, in the order of the input (so that their own mixture is kept over the windows), and
+that queue is granted two tokens a window at least. Sources that the targets leave out
+share a queue that is served when all others are empty.
+
+The driver knows a number for each task and queue (at most ``window / 2 + 2`` queues); the
+offsets that follow from them are a file that tasks read a row of.
+
 Defined cases: a null or empty text is a document of the end id only; a null
 source is a queue of its own; repeated rows are packed each; an empty table
-packs to nothing; other columns are not read. Queues with less than one token a
-window share one queue, so a grant never shrinks.
+packs to nothing; other columns are not read. Ids are numbers; a text id that is none
+counts as null.
 """
 
 from __future__ import annotations
@@ -24,7 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import store
@@ -101,8 +109,9 @@ class Schedule:
         """``(queue offsets where pieces begin, windows, offsets in the windows)`` of tokens first..last-1."""
         lo, hi = self._window_of(queue, first), self._window_of(queue, last - 1)
         starts, windows, offsets = [], [], []
-        for a in range(lo, hi + 1, 8192):
-            w = np.arange(a, min(a + 8192, hi + 1))
+        step = max(16, (1 << 18) // len(self.totals))
+        for a in range(lo, hi + 1, step):
+            w = np.arange(a, min(a + step, hi + 1))
             c = self.served(np.minimum(np.append(w, w[-1] + 1) * self.window, self.length))
             before = (c[1:] - c[:-1])[:, :queue].sum(axis=1)
             begin = np.maximum(c[:-1, queue], first)
@@ -113,75 +122,102 @@ class Schedule:
         return np.concatenate(starts), np.concatenate(windows), np.concatenate(offsets)
 
 
-def encode_docs(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, source_col: str | None, end: int) -> DataFrame:
+@dataclass(frozen=True)
+class Queues:
+    """Which queue a source stands in."""
+
+    number: dict[str | None, int]
+    other: int  # of sources not named
+    count: int
+
+    def of(self, sources: list[str | None]) -> list[int]:
+        return [self.number.get(s, self.other) for s in sources]
+
+
+#: Tokens of a window that a source of its own queue is due at least.
+LEAST = 2
+
+
+def queues_of(docs: DataFrame, text_col: str, source_col: str | None, window: int, targets: Mapping[str | None, float] | None) -> tuple[Queues, np.ndarray | None]:
+    """Queues: one for each source that is due LEAST tokens a window, one for the thin ones, one for those without a target. And their targets."""
+    if targets is None:
+        # Bytes stand for tokens here: they only decide which sources share a queue.
+        size = (F.octet_length(F.col(text_col).cast("string")) + 1).cast("long")
+        named = docs.select(_source(source_col).alias("s"), F.coalesce(size, F.lit(1)).alias("n")).groupBy("s").agg(F.sum("n").alias("n"))
+        whole = named.agg(F.sum("n")).first()[0] or 0
+        heavy = [r.s for r in named.where(F.col("n") * window >= LEAST * whole).collect()]  # at most window / LEAST
+        number = {q: i for i, q in enumerate(sorted(heavy, key=lambda q: (q is not None, q)))}
+        return Queues(number, len(number), len(number) + 2), None
+    shares = {q: float(w) for q, w in targets.items() if w > 0}
+    whole = sum(shares.values())
+    heavy = sorted((q for q, w in shares.items() if w * window >= LEAST * whole), key=lambda q: (q is not None, q))
+    thin = [q for q in shares if q not in heavy]
+    number = {q: i for i, q in enumerate(heavy)} | dict.fromkeys(thin, len(heavy))
+    return Queues(number, len(heavy) + 1, len(heavy) + 2), np.array([*(shares[q] for q in heavy), sum(shares[q] for q in thin), 0.0])
+
+
+def _source(source_col: str | None) -> Column:
+    return F.col(source_col).cast("string") if source_col else F.lit(None).cast("string")
+
+
+def encode_docs(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, source_col: str | None, end: int, queues: Queues) -> DataFrame:
     """The encoded documents as a shared table; each row knows its task and its offset in the task's part of its queue."""
-    source = F.col(source_col).cast("string") if source_col else F.lit(None).cast("string")
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_t"), source.alias("queue"))
+    src = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_t"), _source(source_col).alias("queue"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
-        at: dict[str | None, int] = {}
+        at = np.zeros(queues.count, np.int64)
         for b in batches:
             buf, offs = tc.text_buffers(b.column(1))
-            queues = b.column(2).to_pylist()
+            heads = np.array(queues.of(b.column(2).to_pylist()), np.int32)
             for i, j in tc.slices(offs):
                 ids, cut = enc.encode(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], end)
-                ids, n, place = ids.astype("<u2" if enc.small else "<u4"), np.diff(cut), np.zeros(j - i, np.int64)
-                for k, q in enumerate(queues[i:j]):
-                    place[k] = at.get(q, 0)
-                    at[q] = int(place[k] + n[k])
+                ids, n, place, head = ids.astype("<u2" if enc.small else "<u4"), np.diff(cut), np.zeros(j - i, np.int64), heads[i:j]
+                for q in np.unique(head).tolist():
+                    own = np.flatnonzero(head == q)
+                    total = np.cumsum(n[own])
+                    place[own] = at[q] + total - n[own]
+                    at[q] += total[-1]
                 blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(np.ascontiguousarray(cut * ids.itemsize)), pa.py_buffer(ids)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(np.full(j - i, part, np.int32)), pa.array(place), pa.array(n), pa.array(np.full(j - i, enc.small)), blob], names=["doc_id", "queue", "part", "place", "n", "small", "ids"])
+                cols = [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(head), pa.array(np.full(j - i, part, np.int32)), pa.array(place), pa.array(n), pa.array(np.full(j - i, enc.small)), blob]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "queue", "head", "part", "place", "n", "small", "ids"])
 
-    return store.settle(src.mapInArrow(run, "doc_id long, queue string, part int, place long, n long, small boolean, ids binary"), "packing")
+    return store.settle(src.mapInArrow(run, "doc_id long, queue string, head int, part int, place long, n long, small boolean, ids binary"), "packing")
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, targets: Mapping[str | None, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", end: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """Rows of pieces: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue``.
+    """Rows of pieces: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue`` (the source).
 
     ``targets`` maps sources to shares of the tokens (sources it lacks get none
     until the others are empty); by default every source gets its share of the
     corpus, so all queues empty together. ``with_ids`` adds the ids themselves.
     """
     spark = docs.sparkSession
-    table = encode_docs(docs, tokenizer, id_col, text_col, source_col, end)
-    sums = table.groupBy("part", "queue").agg(F.sum("n").alias("n")).collect()  # tasks x sources, never documents
-    names = sorted({r.queue for r in sums}, key=lambda q: (q is not None, q))
-    column = {q: i for i, q in enumerate(names)}
-    parts = sorted({r.part for r in sums})
-    row = {p: i for i, p in enumerate(parts)}
-    grid = np.zeros((len(parts), len(names)), np.int64)
+    queues, weights = queues_of(docs, text_col, source_col, window, targets)
+    table = encode_docs(docs, tokenizer, id_col, text_col, source_col, end, queues)
+    sums = table.groupBy("part", "head").agg(F.sum("n").alias("n")).collect()  # tasks x queues
+    grid = np.zeros((max((r.part for r in sums), default=-1) + 1, queues.count), np.int64)
     for r in sums:
-        grid[row[r.part], column[r.queue]] = r.n
+        grid[r.part, r["head"]] = r.n
     totals = grid.sum(axis=0)
-    share = np.array([float(totals[i]) if targets is None else float(targets.get(q, 0)) for q, i in column.items()])
-    thin = share * window < max(share.sum(), 1)
-    member = np.arange(len(names))
-    if thin.any() and len(names) > 1:  # under a token a window: queue up behind one another, at worst behind the least of the others
-        rest = np.flatnonzero(~thin)
-        head = np.flatnonzero(thin)[0] if share[thin].sum() * window >= share.sum() or not len(rest) else rest[np.argmin(share[rest])]
-        member[thin] = head
-    heads = sorted(set(member.tolist()))
-    bases = np.zeros_like(grid)
-    for h in heads:
-        own = np.flatnonzero(member == h)
-        flat = grid[:, own].T.ravel()
-        bases[:, own] = (np.cumsum(flat) - flat).reshape(len(own), -1).T
-    merged = np.array([totals[member == h].sum() for h in heads], np.int64)
-    weights = np.array([share[member == h].sum() for h in heads])
-    queue_of = {q: heads.index(member[i]) for q, i in column.items()}
-    shared = spark.sparkContext.broadcast((Schedule(merged, weights, window), bases, row, column, queue_of))
+    weights = totals.astype(float) if weights is None else weights
+    weights = np.where(weights > 0, np.maximum(weights, 1.5 * weights.sum() / window), 0.0)  # a grant never shrinks
+    bases = store.fresh(spark, "packing-bases")
+    store.put(bases, [(np.cumsum(grid, axis=0) - grid).astype("<i8").tobytes()])
+    shared = spark.sparkContext.broadcast(Schedule(totals, weights, window))  # numbers by queue and phase
     names_out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schedule, bases, row, column, queue_of = shared.value
+        schedule = shared.value
+        base: dict[int, np.ndarray] = {}
         for b in batches:
-            queues, part, place, n = b.column("queue").to_pylist(), b.column("part").to_numpy(), b.column("place").to_numpy(), b.column("n").to_numpy()
+            head, part, place, n = b.column("head").to_pylist(), b.column("part").to_numpy(), b.column("place").to_numpy(), b.column("n").to_numpy()
             small = b.column("small").to_pylist()
-            first = np.array([bases[row[p], column[q]] for p, q in zip(part.tolist(), queues)], np.int64) + place
+            base = {p: base[p] if p in base else store.array(bases, "<i8", p * queues.count, queues.count) for p in set(part.tolist())}
+            first = np.array([base[p][q] for p, q in zip(part.tolist(), head)], np.int64) + place
             groups: dict[int, list[int]] = {}
-            for k, q in enumerate(queues):
-                groups.setdefault(queue_of[q], []).append(k)
+            for k, q in enumerate(head):
+                groups.setdefault(q, []).append(k)
             for q, members in groups.items():
                 members = np.array(members)[np.argsort(first[members], kind="stable")]
                 breaks = np.flatnonzero(first[members][1:] != (first[members] + n[members])[:-1]) + 1
