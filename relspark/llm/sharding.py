@@ -5,8 +5,10 @@ item goes to the shard whose residual capacity has the largest dot product with
 the item's sizes (all in shares of the corpus), largest items first. Large groups are
 items of their own; small ones are pooled by hash into a fixed number of
 buckets, so the packer sees a bounded number of items at any input size. A group
-larger than a shard can't be whole: it is split by document id into no more pieces
-than it needs.
+larger than a shard can't be whole: it is split by rows into a few pieces a shard.
+
+Tokens are counted as words (``[^\\x20\\x09-\\x0D]+``); in scripts that put no blanks
+between words, each character counts as one.
 
 Defined cases: a null text has size 1 and is equal to other null texts; repeated
 rows each get a slot; an empty table gives no rows; other columns are not read.
@@ -24,7 +26,10 @@ from .exchange import partitions
 #: Buckets that pool small groups, and the least share of a shard that makes a group an item of its own.
 BUCKETS, OWN_SHARE = 4096, 1e-3
 #: Pieces that a group is measured in, for the case that it must be split.
-GRAINS = 64
+GRAINS = 1024
+#: A token: a character of a script without blanks (Thai, Lao, Burmese, Khmer, kana, Han), or a run of others.
+_ALONE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF"
+TOKEN = rf"[{_ALONE}]|[^\x20\x09-\x0D{_ALONE}]+"
 
 
 def place(items: np.ndarray, shards: int) -> np.ndarray:
@@ -47,11 +52,11 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     rows = docs.select(
         F.col(id_col).alias("_id"),
         (F.octet_length(known) + 1).cast("long").alias("size"),
-        (F.octet_length(known) - F.octet_length(F.replace(known, F.lit(" "), F.lit(""))) + 1).cast("long").alias("tokens"),
+        F.regexp_count(known, F.lit(TOKEN)).cast("long").alias("tokens"),
         F.crc32(known).alias("text_crc32"),
         F.xxhash64(text, text.isNull()).alias("h"),
         F.xxhash64(F.lit(7), text).alias("h2"),
-        F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.lit(GRAINS)).cast("int").alias("grain"),
+        F.pmod(F.xxhash64(F.lit(3), F.monotonically_increasing_id()), F.lit(GRAINS)).cast("int").alias("grain"),  # settled below
     )
     rows = store.settle(rows, "shard-rows")  # without the texts
     sums = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")]
@@ -74,7 +79,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
             items.append((g.bytes, g.tokens, g.n))
             keys.append((g.h, g.h2, None))
             continue
-        pieces *= 2  # halves fill what whole shards would leave
+        pieces = min(GRAINS, 8 * pieces)  # small ones fill what whole shards would leave
         for k in range(pieces):
             part = [x for x in g.grains if x.grain * pieces // GRAINS == k]
             if part:
