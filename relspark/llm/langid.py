@@ -2,238 +2,307 @@
 
 For each language a suffix automaton holds labelled text. A text is cut greedily
 into the longest phrases that occur in that text (Ziv-Merhav cross-parsing); with
-n characters of training text, a phrase costs log2(n) bits, and the language that
-needs the fewest bits for a text's characters wins. Phrases begin and end with words, so each
-distinct word is parsed once a worker, all words of a step at once.
+n bytes of training text, a phrase costs log2(n) bits, and the language that
+needs the fewest bits for a text's bytes wins. Both are parsed as words of letters in lower
+case with a blank before, between and after them, in UTF-8; phrases run across words.
+
+A parse is a walk through a table (state, byte) -> (state, phrases that end), so texts are
+cut in segments that are all walked at once, each from the automaton's root. Where the
+segment before ended in another state, the walk is repeated from that state until it meets
+the first one, which takes some phrases only. The result is that of one walk over the whole text.
+
+Languages are learned in blocks of bounded size, each a file in the shared folder, and every
+label is learned. The sample of labelled rows is bounded by ``SAMPLE_DOCS`` whole documents and
+``SAMPLE_BYTES`` of text a language; documents larger than that are drawn only
+where a language has no other (then its shortest one is).
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, and so
-is every text where nothing is labelled; rows are judged one by one; a null id counts as
-held out; an empty table gives no rows; other columns are not read.
+is every text where nothing is labelled; of languages that need the same bits the first in
+alphabetical order wins, with score 0; rows are judged one by one, whatever rows share
+their id; a null id counts as held out; repeated rows are drawn once; an empty table gives no
+rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import pickle
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import store
 from . import textcore as tc
 
 UNKNOWN = "und"
-#: Bounds of the labelled sample: documents a language, and characters over all languages.
-SAMPLE_DOCS, SAMPLE_CHARS = 100, 100_000
-#: Languages that may be learned (the most frequent ones).
-MAX_LANGUAGES = 64
-#: Distinct words that a worker remembers.
-CACHE_WORDS = 1_500_000
+#: Bounds of the labelled sample: whole documents, and bytes of text, a language.
+SAMPLE_DOCS, SAMPLE_BYTES = 100, 48_000
+#: Languages in a block, blocks that a worker keeps, bytes of a segment, and bytes of text parsed at once.
+BLOCK_LANGUAGES, KEPT, SEGMENT, AT_ONCE = 16, 2, 256, 2 << 20
+
+#: Code points below this are looked up; above it stand ideographs, which have no case.
+_LOOKED_UP = 0x20000
+
+
+@lru_cache(None)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point, its kind (1: a mark, 2: a letter) and its small letter."""
+    points = [chr(c) for c in range(_LOOKED_UP)]
+    kind = np.array([2 if c.isalpha() else unicodedata.category(c)[0] == "M" for c in points], np.uint8)
+    small = np.array([ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in points], np.uint32)
+    return kind, small
+
+
+def plain(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents as they are parsed, their offsets, and the letters of each."""
+    kind_of, small_of = _tables()
+    lead = (buf & 0xC0) != 0x80
+    at = np.concatenate([[0], np.cumsum(lead)])[offs]  # offsets in code points
+    points = np.frombuffer(buf.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    low = np.minimum(points, _LOOKED_UP - 1)
+    kind, points = kind_of[low], np.where(points < _LOOKED_UP, small_of[low], points)
+    for i in np.flatnonzero(points >= _LOOKED_UP).tolist():
+        kind[i] = 2 * chr(points[i]).isalpha()
+    letters = np.concatenate([[0], np.cumsum(kind == 2)])[at]
+    word = kind > 0
+    edge = np.zeros(len(points) + 1, bool)
+    edge[at] = True
+    begins = word.copy()
+    begins[1:] &= ~word[:-1] | edge[1:-1]
+    # Each word has a blank before it, the last one of a document also behind it.
+    words = np.concatenate([[0], np.cumsum(begins)])
+    some = np.concatenate([[0], np.cumsum(words[at[1:]] > words[at[:-1]])])  # documents with a word
+    kept = np.concatenate([[0], np.cumsum(word)])
+    out = np.full(int(kept[-1] + words[-1] + some[-1]), 32, np.uint32)
+    doc = np.repeat(np.arange(len(offs) - 1), np.diff(at))
+    mine = np.flatnonzero(word)
+    out[kept[mine] + words[mine + 1] + some[doc[mine]]] = points[mine]
+    width = 1 + (out >= 0x80).astype(np.int64) + (out >= 0x800) + (out >= 0x10000)
+    text = np.frombuffer(out.tobytes().decode("utf-32-le", "replace").encode("utf-8"), np.uint8)
+    return text, np.concatenate([[0], np.cumsum(width)])[kept[at] + words[at] + some], np.diff(letters)
 
 
 @dataclass
-class Model:
-    languages: list[str]
-    alphabet: dict[str, int]  # 0 is what no training text has
-    step: list[np.ndarray]  # a language's transitions, state x character; 0 is none
-    bits: np.ndarray  # of a phrase
-
+class Automaton:
+    """Where a byte leads from a state, and how many phrases end: ``step[state + code[byte]] = next << 2 | phrases``; state 0 is the root."""
 
-def letters(text: str) -> str:
-    """Lower-case words of letters, a space around each."""
-    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
-    return f" {' '.join(words)} " if words else ""
+    language: str
+    code: np.ndarray
+    step: np.ndarray
+    bits: float  # of a phrase
 
 
-def automaton(text: str, alphabet: dict[str, int]) -> np.ndarray:
-    """Transitions of the suffix automaton; row 1 is the root, row 0 is nowhere."""
-    move: list[dict[int, int]] = [{}, {}]
-    link, depth, last = [0, 0], [0, 0], 1
-    for ch in text:
-        c, cur, p = alphabet[ch], len(move), last
+def automaton(language: str, text: bytes) -> Automaton:
+    """The suffix automaton of a text."""
+    move: list[dict[int, int]] = [{}]
+    link, depth, last = [-1], [0], 0
+    for c in text:
+        cur, p = len(move), last
         move.append({})
-        link.append(1)
+        link.append(0)
         depth.append(depth[last] + 1)
-        while p and c not in move[p]:
+        while p >= 0 and c not in move[p]:
             move[p][c] = cur
             p = link[p]
-        if p:
+        if p >= 0:
             q = move[p][c]
             if depth[q] != depth[p] + 1:
                 twin = len(move)
                 move.append(dict(move[q]))
                 link.append(link[q])
                 depth.append(depth[p] + 1)
-                while p and move[p].get(c) == q:
+                while p >= 0 and move[p].get(c) == q:
                     move[p][c] = twin
                     p = link[p]
                 link[q] = twin
                 q = twin
             link[cur] = q
         last = cur
-    table = np.zeros((len(move), len(alphabet) + 1), np.int32)
-    for s, edges in enumerate(move):
-        for c, t in edges.items():
-            table[s, c] = t
-    return table
-
-
-def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model:
-    """Learns from labelled documents that are not held out; the sample is bounded by the constants above."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    slim = known.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_l"), F.xxhash64(F.lit(11), F.col(id_col)).alias("_h"))
-    names = sorted(r._l for r in slim.groupBy("_l").count().orderBy(F.desc("count"), "_l").limit(MAX_LANGUAGES).collect())
-    if not names:
-        return Model([], {}, [], np.zeros(0))
-    rank = F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_id"))
-    chosen = slim.where(F.col("_l").isin(names)).withColumn("_r", rank).where(F.col("_r") <= SAMPLE_DOCS).select("_id", "_h").collect()  # SAMPLE_DOCS x MAX_LANGUAGES ids
-    most = max(1000, SAMPLE_CHARS // len(names))
-    wanted = known.where(F.col(id_col).isin([r._id for r in chosen])).select(F.col(lang_col).cast("string").alias("_l"), F.substring(F.col(text_col), 1, most).alias("_t"), F.xxhash64(F.lit(11), F.col(id_col)).alias("_h"), F.crc32(F.col(text_col)).alias("_c"))
-    texts: dict[str, str] = dict.fromkeys(names, " ")
-    for r in sorted(wanted.collect(), key=lambda r: (r._h, r._c)):
-        if r._l in texts and len(texts[r._l]) < most:
-            texts[r._l] += letters(r._t)[1:][: most - len(texts[r._l])]
-    alphabet = {c: i + 1 for i, c in enumerate(sorted(set("".join(texts.values()))))}
-    return Model(names, alphabet, [automaton(texts[n], alphabet) for n in names], np.array([np.log2(max(2, len(texts[n]))) for n in names]))
-
-
-def phrases(table: np.ndarray, codes: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Phrases of each row of characters (padded; ``size`` are used)."""
-    count, state = np.zeros(len(codes), np.int32), np.ones(len(codes), np.int32)
-    for j in range(codes.shape[1]):
-        live = np.flatnonzero(size > j)
-        c, s = codes[live, j], state[live]
-        to = table[s, c]
-        stuck = to == 0
-        count[live[stuck & (s != 1)]] += 1  # the phrase before ends
-        again = np.where(stuck, table[1, c], to)
-        lost = again == 0
-        count[live[lost]] += 1  # a character that no training text has is a phrase
-        state[live] = np.where(lost, 1, again)
-    return count + (state != 1)
-
-
-class Parser:
-    """Phrases of words in every language, remembered by the word's hash."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.points = {ord(c): i for c, i in model.alphabet.items()}
-        self.forget()
-
-    def forget(self) -> None:
-        self.keys, self.rows = np.zeros(0, tc.U), np.zeros((0, len(self.model.languages) + 1), np.int32)
-
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        if len(self.keys) + len(keys) > CACHE_WORDS:
-            self.forget()
-        plain = [letters(w) for w in words]
-        size = np.fromiter(map(len, plain), np.int64, len(plain))
-        rows = np.zeros((len(keys), self.rows.shape[1]), np.int32)
-        rows[:, -1] = size
-        order = np.argsort(size, kind="stable")
-        order = order[size[order] > 0]
-        i = 0
-        while i < len(order):  # rows of like length together, a bounded number of cells
-            j = i + 1
-            j = min(len(order), max(j, i + (1 << 22) // max(1, int(size[order[min(len(order) - 1, i + 65536)]]))))
-            j = min(j, i + 65536)
-            part = order[i:j]
-            width = int(size[part[-1]])
-            flat = np.frombuffer("".join(plain[k].ljust(width) for k in part).encode("utf-32-le"), np.uint32)
-            points, inverse = np.unique(flat, return_inverse=True)
-            codes = np.array([self.points.get(int(p), 0) for p in points], np.int32)[inverse].reshape(len(part), width)
-            for k, table in enumerate(self.model.step):
-                rows[part, k] = phrases(table, codes, size[part])
-            i = j
-        place = np.searchsorted(self.keys, keys)
-        self.keys, self.rows = np.insert(self.keys, place, keys), np.insert(self.rows, place, rows, axis=0)
-
-    def parse(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(phrases by document and language, characters by document)``."""
-        starts, ends, woffs = tc.word_bounds(buf, offs)
-        h = tc.span_hash(buf, starts, ends)
-        keys, one, inverse = np.unique(h, return_index=True, return_inverse=True)
-        found = np.searchsorted(self.keys, keys)
-        new = np.ones(len(keys), bool)
-        if len(self.keys):
-            new = self.keys[np.minimum(found, len(self.keys) - 1)] != keys
-        if new.any():
-            make = np.ones(len(keys), bool) if len(self.keys) + int(new.sum()) > CACHE_WORDS else new
-            text = buf.tobytes()
-            self._learn(keys[make], [text[starts[i] : ends[i]].decode("utf-8", "replace") for i in one[make]])
-            found = np.searchsorted(self.keys, keys)
-        rows = self.rows[found][inverse] if len(h) else np.zeros((0, self.rows.shape[1]), np.int32)
-        total = np.zeros((len(rows) + 1, rows.shape[1]), np.int64)
-        np.cumsum(rows, axis=0, out=total[1:])
-        by_doc = total[woffs[1:]] - total[woffs[:-1]]
-        return by_doc[:, :-1], by_doc[:, -1]
+    used = sorted(set(text))
+    width = len(used) + 1  # code 0: a byte that the text lacks
+    code = np.zeros(256, np.int32)
+    code[used] = np.arange(1, width)
+    root = np.zeros(width, np.int64)
+    for c, to in move[0].items():
+        root[code[c]] = to * width
+    # Without a way on, the phrase ends; the byte begins the next one, or is one by itself if the text lacks it.
+    step = np.tile(np.where(root > 0, root << 2 | 1, 2), (len(move), 1))
+    edges = np.array([(s, c, to) for s, out in enumerate(move) for c, to in out.items()], np.int64).reshape(-1, 3)
+    step[edges[:, 0], code[edges[:, 1]]] = edges[:, 2] * width << 2
+    step[0] = np.where(root > 0, root << 2, 1)
+    return Automaton(language, code, step.ravel().astype(np.int32), float(np.log2(max(2, len(text)))))
+
+
+def phrases(a: Automaton, text: np.ndarray, offs: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
+    """Phrases of each document."""
+    size = np.diff(offs)
+    per = -(-size // segment)
+    if not per.sum():
+        return np.zeros(len(size), np.int64)
+    doc = np.repeat(np.arange(len(size)), per)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
+    start = offs[doc] + nth * segment
+    length = np.minimum(segment, offs[doc + 1] - start)
+    lane = np.argsort(-length, kind="stable")  # of the rows of the tables below, the segment
+    start, length, nth, doc = start[lane], length[lane], nth[lane], doc[lane]
+    place = np.empty(len(lane), np.int64)
+    place[lane] = np.arange(len(lane))
+    before = np.where(nth > 0, place[np.maximum(lane - 1, 0)], -1)  # the row of the segment before
+    deep = int(length[0])
+    live = np.searchsorted(-length, -np.arange(1, deep + 1), "right")
+    code = a.code[np.append(text, np.zeros(deep, np.uint8))]
+    here = np.zeros((deep, len(lane)), np.int32)
+    after = np.zeros((deep, len(lane)), np.int32)
+    ended = np.zeros((deep, len(lane)), np.uint8)
+    state = np.zeros(len(lane), np.int32)
+    for j in range(deep):
+        m = int(live[j])
+        here[j, :m] = code[start[:m] + j]
+        v = a.step[state[:m] + here[j, :m]]
+        np.right_shift(v, 2, out=state[:m])
+        after[j, :m] = state[:m]
+        ended[j, :m] = v & 3
+    rows = np.arange(len(lane))
+    entry = np.zeros(len(lane), np.int32)
+    todo = np.flatnonzero(before >= 0)
+    while len(todo):
+        begin = after[length[before[todo]] - 1, before[todo]]
+        todo, begin = todo[begin != entry[todo]], begin[begin != entry[todo]]
+        entry[todo] = begin
+        now, state, j, open_ = todo, begin, 0, []
+        while len(now):  # until the walks meet
+            v = a.step[state + here[j, now]]
+            state = v >> 2
+            ended[j, now] = v & 3
+            apart = after[j, now] != state
+            after[j, now] = state
+            j += 1
+            over = length[now] <= j
+            open_.append(now[apart & over])
+            now, state = now[apart & ~over], state[apart & ~over]
+        changed = np.zeros(len(lane), bool)
+        changed[np.concatenate(open_) if open_ else todo[:0]] = True
+        todo = np.flatnonzero((before >= 0) & changed[before])
+    count = np.bincount(doc, ended.sum(axis=0, dtype=np.int64), len(size)).astype(np.int64)
+    final = nth + 1 == per[doc]
+    return count + np.bincount(doc[final], after[length - 1, rows][final] != 0, len(size)).astype(np.int64)
 
 
 def held_out(id_col: str):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
 
 
-_PARSERS: dict[str, Parser] = {}
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, bytes]:
+    """The training text of each language: whole labelled documents that are not held out."""
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
+    text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
+    slim = known.select(lang.alias("l"), F.octet_length(text).alias("n"), F.xxhash64(F.lit(11), F.col(id_col), text).alias("h")).distinct()
+    large = F.col("n") > SAMPLE_BYTES
+    rank = F.row_number().over(Window.partitionBy("l").orderBy(large, F.when(large, F.col("n")), "h"))
+    drawn: dict[str, list] = {}
+    for r in slim.withColumn("r", rank).where(F.col("r") <= SAMPLE_DOCS).collect():  # SAMPLE_DOCS numbers a language
+        drawn.setdefault(r.l, []).append((r.r, r.n, r.h))
+    chosen: dict[int, tuple[str, int]] = {}
+    for name, rows in drawn.items():
+        room = SAMPLE_BYTES
+        for r, n, h in sorted(rows):
+            if n <= room or r == 1:
+                chosen[h] = (name, r)
+                room -= n
+    if not chosen:
+        return {}
+    texts = known.select(F.xxhash64(F.lit(11), F.col(id_col), text).alias("h"), lang.alias("l"), text.alias("t")).where(F.col("h").isin(list(chosen))).groupBy("h", "l").agg(F.min("t").alias("t"))
+    found: dict[str, list] = {}
+    for r in texts.collect():  # SAMPLE_BYTES a language
+        if chosen[r.h][0] == r.l:
+            found.setdefault(r.l, []).append((chosen[r.h][1], r.t))
+    out = {}
+    for name, rows in found.items():
+        raw = [t.encode() for _, t in sorted(rows)]
+        text = plain(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum(list(map(len, raw)))]))[0]
+        if len(text):
+            out[name] = text.tobytes()
+    return out
+
+
+def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[str]:
+    """Learns every language; the automata as files in the shared folder, some languages each, in alphabetical order."""
+    spark: SparkSession = docs.sparkSession
+    texts, out = sample(docs, id_col, text_col, lang_col), []
+    names = sorted(texts)
+    for i in range(0, len(names), BLOCK_LANGUAGES):
+        out.append(store.fresh(spark, "languages"))
+        store.put(out[-1], [pickle.dumps([automaton(n, texts[n]) for n in names[i : i + BLOCK_LANGUAGES]], protocol=5)])
+    return out
+
+
+_MODELS: dict[str, list[Automaton]] = {}
+
+
+def _models(uri: str) -> list[Automaton]:
+    if uri not in _MODELS:
+        while len(_MODELS) >= KEPT:
+            _MODELS.pop(next(iter(_MODELS)))
+        _MODELS[uri] = pickle.loads(store.array(uri, "u1").tobytes())
+    return _MODELS[uri]
+
+
+def judge(uris: list[str], buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Languages and scores of some documents."""
+    text, at, letters = plain(buf, offs)
+    size = np.maximum(np.diff(at), 1)
+    least, rest = np.full(len(size), np.inf), np.full(len(size), np.inf)
+    name = np.full(len(size), UNKNOWN, object)
+    for uri in uris:
+        for a in _models(uri):
+            bits = phrases(a, text, at) * a.bits / size
+            better = bits < least
+            rest = np.where(better, least, np.minimum(rest, bits))
+            least = np.where(better, bits, least)
+            name[better] = a.language
+    rest = np.where(np.isinf(rest), 2 * least, rest)  # a single language
+    blank = (letters == 0) | np.isinf(least)
+    name[blank] = UNKNOWN
+    with np.errstate(invalid="ignore"):
+        score = np.where(blank, 0.0, 1 - least / np.maximum(rest, 1e-12))
+    return name, score.clip(0, 1)
+
+
+def _judged(uris: list[str], batches: Iterator[pa.RecordBatch], col: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    for b in batches:
+        buf, offs = tc.text_buffers(b.column(col))
+        for i, j in tc.slices(offs, AT_ONCE):
+            yield b.slice(i, j - i), *judge(uris, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per row: id, held_out, lang_pred, score (0: another language is as good; towards 1: far better than all)."""
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"), held_out(id_col).alias("_o"))
     kind = docs.schema[id_col].dataType.simpleString()
-    judge = judge_of(docs, id_col, text_col, lang_col)
+    uris = fit(docs, id_col, text_col, lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j, lang, score in judge(b.column(1)):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), lang, score], names=[id_col, "held_out", "lang_pred", "score"])
+        for b, name, score in _judged(uris, batches, 1):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(name.tolist(), pa.string()), pa.array(score)], names=[id_col, "held_out", "lang_pred", "score"])
 
     return slim.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
 
 
-def judge_of(docs: DataFrame, id_col: str, text_col: str, lang_col: str):
-    """Fits on ``docs``; a function of a text column that yields ranges of rows with languages and scores."""
-    import uuid
-
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col))
-    key = uuid.uuid4().hex
-
-    def judge(col: pa.Array) -> Iterator[tuple[int, int, pa.Array, pa.Array]]:
-        if key not in _PARSERS:
-            _PARSERS.clear()
-            _PARSERS[key] = Parser(model.value)
-        parser, names = _PARSERS[key], np.array([*model.value.languages, UNKNOWN], object)
-        buf, offs = tc.text_buffers(col)
-        for i, j in tc.slices(offs):
-            count, chars = parser.parse(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-            if not len(names) > 1:
-                yield i, j, pa.array([UNKNOWN] * (j - i), pa.string()), pa.array(np.zeros(j - i))
-                continue
-            bits = count * model.value.bits / np.maximum(chars, 1)[:, None]
-            best = bits.argmin(axis=1)
-            least = bits[np.arange(len(bits)), best]
-            rest = np.partition(bits, 1, axis=1)[:, 1] if bits.shape[1] > 1 else least * 2
-            blank = chars == 0
-            score = np.where(blank, 0.0, 1 - least / np.maximum(rest, 1e-12)).clip(0, 1)
-            yield i, j, pa.array(names[np.where(blank, len(names) - 1, best)].tolist(), pa.string()), pa.array(score)
-
-    return judge
-
-
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose language can't be told: ``und``, or two languages need the same bits (score 0)."""
-    judge = judge_of(docs, id_col, text_col, lang_col)
+    """``docs`` without the rows whose language can't be told: ``und``, or two languages need the same bits (score 0). Cases as in ``identify``."""
     cols = docs.columns
     names = [f"c{i}" for i in range(len(cols))]
-    named = docs.toDF(*names)
-    at = cols.index(text_col)
+    named, at = docs.toDF(*names), cols.index(text_col)
+    uris = fit(docs, id_col, text_col, lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j, lang, score in judge(b.column(at)):
-                mask = np.asarray([x != UNKNOWN for x in lang.to_pylist()], bool) & (score.to_numpy() > 0)
-                yield b.slice(i, j - i).filter(pa.array(mask))
+        for b, name, score in _judged(uris, batches, at):
+            yield b.filter(pa.array((name != UNKNOWN) & (score > 0)))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema)
     return named.mapInArrow(run, schema).toDF(*cols)
