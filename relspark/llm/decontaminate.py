@@ -7,8 +7,10 @@ function says when to step on; strings of small edit distance get outputs
 of small Hamming distance. Sampled output positions are hash keys (LSH for Hamming
 distance), and several walks and samples reach the target recall.
 
-Windows as long as an item's pieces (64 characters; all of a shorter item) start at every word of
-the items and of the documents. A leak of d edits has pieces with far fewer, so
+Windows as long as an item's pieces start at every word of the items and of the documents:
+pieces have 64 characters, those of an item of under 64 have 32, and of under 32 have 16;
+each such class of items has blocks of its own, so an item is searched alike whatever
+others there are. A leak of d edits has pieces with far fewer, so
 some piece may meet its twin. Document windows that can't
 be within 4 edits of any piece, as too few of their 8-grams are the items',
 are not embedded. A hit gives the place where the whole item would lie, and the exact edit
@@ -20,39 +22,43 @@ k + 1 parts, at least one of which stands unchanged in a leak. Places of a part'
 bytes are candidates too, if the stretch of up to 6 parts about it is there with fewer edits
 than it has parts; of the stretches of a leak, one always is.
 
-Items are taken in blocks of bounded size, so a large benchmark is many
-passes and never one large broadcast.
+Items are taken in blocks of bounded size, each a file in the shared folder. A task holds some
+megabytes of documents and takes one block after another, so a large benchmark is
+neither a large broadcast nor many passes over the documents.
 
-Defined cases: a null or empty text leaks nothing; items shorter than 16 characters or null are no evidence
-and are left out; rows are judged one by one; repeated items each count; empty tables
+Defined cases: a null or empty text leaks nothing; items shorter than ``shortest`` (16 bytes, unless
+told otherwise) or null are no evidence; where items under 16 bytes are wanted, they are looked up
+exactly, as whole words; rows are judged one by one; repeated items each count; empty tables
 give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
 from . import textcore as tc
 
 EDIT_SHARE = 0.10
 #: Characters of a piece, of a gram, and edits in a piece that the gram filter must let through.
 PIECE, GRAM, PIECE_EDITS = 64, 8, 4
 SHORTEST = 16
+CLASSES = (PIECE, PIECE // 2, SHORTEST)
 #: Walks, samples of each walk, and positions in a sample; what they miss is found by unchanged parts.
 WALKS, SAMPLES, POSITIONS = 6, 4, 14
 #: Bytes of a part that are looked up (at most a word of 64 bits), and parts in a stretch (at most 64 bytes).
 SEED, STRETCH = 8, 6
 #: Candidates compared at once.
 CHUNK = 1 << 14
-#: Bytes of items in a block (their index takes about seventy times that in a worker).
-BLOCK_BYTES = 1 << 20
+#: Bytes of items in a block (their index takes about seventy times that in a worker), blocks that a worker keeps, and bytes of documents held for a round of all blocks.
+BLOCK_BYTES, KEPT, HELD_BYTES = 1 << 20, 2, 32 << 20
 
 
 def fold(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,6 +113,7 @@ class Index:
     stretch: np.ndarray  # for each byte (7 bits), where a stretch has it
     size: np.ndarray  # of a stretch
     spare: np.ndarray  # edits that a stretch may have
+    exact: dict[bytes, list]  # items that are looked up whole, and their ids
 
 
 def grams8(text: np.ndarray) -> np.ndarray:
@@ -193,8 +200,42 @@ def unchanged(index: Index, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
             lo = hi
 
 
+def exact_index(ids: list, texts: list[bytes]) -> Index:
+    """Items that are looked up whole."""
+    exact: dict[bytes, list] = {}
+    for i, t in zip(ids, texts):
+        exact.setdefault(t, []).append(i)
+    none = np.zeros(0, np.int64)
+    return Index([], [], 0, none, [], none, none, {}, none, none, none, exact)
+
+
+def whole_words(index: Index, text: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, object, int]]:
+    """Where the exact items stand in a folded text, as whole words."""
+    start = np.flatnonzero(np.r_[True, text[:-1] == 32])
+    by_size: dict[int, list[bytes]] = {}
+    for t in index.exact:
+        by_size.setdefault(len(t), []).append(t)
+    for size, items in by_size.items():
+        part = min(8, size)
+        s = start[start + size < len(text)]
+        s = s[text[s + size] == 32]
+        s = s[np.searchsorted(at, s, "right") == np.searchsorted(at, s + size, "right")]
+        words = words_at(text, part)
+        name = tc.mix(words[s] + tc.mix(words[s + size - part]))
+        mine = [np.frombuffer(t, np.uint8) for t in items]
+        known = np.array([tc.mix(words_at(m, part)[:1] + tc.mix(words_at(m, part)[-1:]))[0] for m in mine], tc.U)
+        order = np.argsort(known)
+        hit = np.flatnonzero(tc.member(name, known[order]))
+        which = order[np.searchsorted(known[order], name[hit])]
+        found = np.unique(np.stack([np.searchsorted(at, s[hit], "right") - 1, which]), axis=1) if len(hit) else np.zeros((2, 0), np.int64)
+        for d, k in found.T.tolist():
+            for i in index.exact[items[k]]:
+                yield d, i, 0
+
+
 def build(ids: list, texts: list[bytes]) -> Index:
-    piece = max(SHORTEST, min([PIECE, *map(len, texts)]))
+    """The index of items of 16 bytes and more; they should be of one class."""
+    piece = next(c for c in CLASSES if c <= min(map(len, texts)))
     text = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     ends = np.cumsum([len(t) + 1 for t in texts]) - 1
     begins = ends - [len(t) for t in texts]
@@ -209,7 +250,7 @@ def build(ids: list, texts: list[bytes]) -> Index:
             order = np.argsort(key)
             tables.append((key[order], order))
     owned = np.concatenate([grams8(np.frombuffer(t, np.uint8)) for t in texts])
-    return Index(ids, texts, piece, np.unique(owned), tables, item, start - begins[item], *seeds_of(texts))
+    return Index(ids, texts, piece, np.unique(owned), tables, item, start - begins[item], *seeds_of(texts), {})
 
 
 def least_edits(item: bytes, text: bytes, most: int) -> int | None:
@@ -237,10 +278,16 @@ def least_edits(item: bytes, text: bytes, most: int) -> int | None:
 
 def search(index: Index, buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, object, int]]:
     """``(document, item id, edits)`` of the leaks in a slice."""
-    text, at = fold(buf, offs)
+    yield from search_folded(index, *fold(buf, offs))
+
+
+def search_folded(index: Index, text: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, object, int]]:
     piece = index.piece
     if not len(text):
         return
+    if index.exact:
+        yield from whole_words(index, text, at)
+        return
     g = grams8(text)
     # Windows with enough of the items' grams: GRAM grams are lost with each edit.
     hit = np.concatenate([[0], np.cumsum(tc.member(g, index.grams))])
@@ -286,62 +333,106 @@ def search(index: Index, buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[in
         yield d, index.ids[i], edits
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Index]:
-    ids, texts, size = [], [], 0
-    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, shortest: int = SHORTEST) -> Iterator[Index]:
+    """Indexes of the items, class by class, of about BLOCK_BYTES of items each (an item is never split)."""
+    held: dict[int, tuple[list, list]] = {}
+    size: dict[int, int] = {}
+
+    def flush(c: int) -> Index:
+        ids, texts = held.pop(c)
+        size[c] = 0
+        return build(ids, texts) if c else exact_index(ids, texts)
+
+    rows = benchmark.select(F.col(item_col).try_cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
     for r in rows.toLocalIterator():
         raw = np.frombuffer((r.t or "").encode(), np.uint8)
         t = fold(raw, np.array([0, len(raw)]))[0].tobytes()[:-1]
-        if len(t) < SHORTEST:
+        if len(t) < max(1, shortest):
             continue
+        c = next((c for c in CLASSES if c <= len(t)), 0)
+        ids, texts = held.setdefault(c, ([], []))
         ids.append(r.i)
         texts.append(t)
-        size += len(t)
-        if size > BLOCK_BYTES:
-            yield build(ids, texts)
-            ids, texts, size = [], [], 0
-    if ids:
-        yield build(ids, texts)
+        size[c] = size.get(c, 0) + len(t)
+        if size[c] > BLOCK_BYTES:
+            yield flush(c)
+    for c in sorted(held):
+        yield flush(c)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def stored_blocks(spark: SparkSession, benchmark: DataFrame, item_col: str, text_col: str, shortest: int) -> list[str]:
+    """The blocks as files in the shared folder; the driver holds one at a time."""
+    out = []
+    for index in blocks(benchmark, item_col, text_col, shortest):
+        out.append(store.fresh(spark, "benchmark-block"))
+        store.put(out[-1], [pickle.dumps(index, protocol=5)])
+    return out
+
+
+_KEPT: dict[str, Index] = {}
+
+
+def _block(uri: str) -> Index:
+    if uri not in _KEPT:
+        while len(_KEPT) >= KEPT:
+            _KEPT.pop(next(iter(_KEPT)))
+        _KEPT[uri] = pickle.loads(store.array(uri, "u1").tobytes())
+    return _KEPT[uri]
+
+
+def searched(uris: list[str], batches: Iterator[pa.RecordBatch], col: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, object, int]]]]:
+    """Slices of the batches, and what their rows leak."""
+    held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def flush() -> Iterator[tuple[pa.RecordBatch, list]]:
+        found: list[list] = [[] for _ in held]
+        for uri in uris:
+            index = _block(uri)
+            for k, (_, text, at) in enumerate(held):
+                found[k] += search_folded(index, text, at)
+        yield from zip([b for b, _, _ in held], found)
+        held.clear()
+
+    for b in batches:
+        buf, offs = tc.text_buffers(b.column(col))
+        for i, j in tc.slices(offs):
+            held.append((b.slice(i, j - i), *fold(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])))
+            size += len(held[-1][1])
+            if len(uris) <= KEPT or size > HELD_BYTES:
+                yield from flush()
+                size = 0
+    yield from flush()
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shortest: int = SHORTEST) -> DataFrame:
     """Pairs ``id, item, edits``: documents and the items that they leak."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, `{item_col}` long, edits int"
-    out = []
-    for index in blocks(benchmark, item_col, item_text):
-        shared = spark.sparkContext.broadcast(index)  # of at most BLOCK_BYTES of items
+    uris = stored_blocks(spark, benchmark, item_col, item_text, shortest)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                buf, offs = tc.text_buffers(b.column(1))
-                for i, j in tc.slices(offs):
-                    got = list(search(shared.value, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
-                    rows = pa.array([i + d for d, _, _ in got], pa.int64())
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array([x for _, x, _ in got], pa.int64()), pa.array([e for _, _, e in got], pa.int32())], names=[id_col, item_col, "edits"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, got in searched(uris, batches, 1):
+            rows = pa.array([d for d, _, _ in got], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array([x for _, x, _ in got], pa.int64()), pa.array([e for _, _, e in got], pa.int32())], names=[id_col, item_col, "edits"])
 
-        out.append(slim.mapInArrow(run, schema))
-    return reduce(DataFrame.union, out) if out else spark.createDataFrame([], schema)
+    return slim.mapInArrow(run, schema) if uris else spark.createDataFrame([], schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` without the rows that leak an item; columns as they were, no shuffle."""
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shortest: int = SHORTEST) -> DataFrame:
+    """``docs`` without the rows that leak an item; columns as they were, no shuffle. Cases as in ``leaks``."""
     cols = docs.columns
     names = [f"c{i}" for i in range(len(cols))]
     at = cols.index(text_col)
     named = docs.toDF(*names)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema)
-    for index in blocks(benchmark, item_col, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                buf, offs = tc.text_buffers(b.column(at))
-                for i, j in tc.slices(offs):
-                    keep = np.ones(j - i, bool)
-                    keep[[d for d, _, _ in search(shared.value, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])]] = False
-                    yield b.slice(i, j - i).filter(pa.array(keep))
-
-        named = named.mapInArrow(run, schema)
-    return named.toDF(*cols)
+    uris = stored_blocks(docs.sparkSession, benchmark, item_col, item_text, shortest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, got in searched(uris, batches, at):
+            keep = np.ones(len(b), bool)
+            keep[[d for d, _, _ in got]] = False
+            yield b.filter(pa.array(keep))
+
+    return named.mapInArrow(run, schema).toDF(*cols) if uris else docs
