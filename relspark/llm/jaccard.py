@@ -11,14 +11,19 @@ one are candidates, and candidates are verified on the whole sets.
 Allocation by cost: small bands use few segments of weight 2, as single small
 subsets would be shared by chance; larger bands use weight 1, with 2*d segments more
 than the pigeonhole needs, so that each document may leave out its d costliest
-subsets (empty ones, then those whose rarest shingle is frequent around it).
+subsets (empty ones, then those whose rarest shingle is frequent around it). An empty
+subset is never a key, as unrelated documents share it: a document whose keys would hold one
+emits the shingles of its prefix instead (of n shingles in hash order the first
+n - 0.8 n + 1, one of which similar sets always share).
 
 Equal sets count as one node throughout. Subsets shared by a few nodes give all
 pairs; those shared by many give a star and a chain first, and only what these
 leave in different components is compared further. A candidate's parity sketch (a
 bit for each of 4n cells; every shingle not shared flips one) gives a lower bound of the
-symmetric difference, which rules most false candidates out before whole sets travel.
-No cap drops a pair.
+symmetric difference, which rules most false candidates out before whole sets travel. Long lists are
+compared in pairs of tiles, each a task of its own. ``link`` gives components: of the
+members of a list that are connected already, it doesn't look at further links.
+No cap drops a link between components.
 
 Defined cases: fewer words than a shingle has make one shingle of all; no words or
 a null text make an empty set, linked with nothing; null ids form links but never name
@@ -119,6 +124,7 @@ def signatures(g: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
     freq = np.empty(len(g), np.int32)
     freq[order] = np.repeat(np.diff(run), np.diff(run))
     place = tc.mix(g ^ tc.mix(np.full(1, 77, tc.U))[0])
+    bare = np.zeros(len(size), bool)
     for k in np.unique(band[size > 0]).tolist():
         for group in (k, k - 1):
             p = plan(group) if group >= 0 else None
@@ -145,16 +151,25 @@ def signatures(g: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
                 worst = np.argpartition(-cost.reshape(len(docs), p.segments), p.spare - 1, axis=1)[:, : p.spare]
                 np.put_along_axis(keep, worst, False, axis=1)
             keep = keep.ravel()
+            void = n <= p.weight - 1  # agrees with other void subsets by being empty, if need be up to a deletion
+            bare[docs[np.flatnonzero(keep & void) // p.segments]] = True
+            keep &= n > 0
             key = tc.mix(total ^ seed)
             yield docs[np.flatnonzero(keep) // p.segments], key[keep]
             if p.weight == 2:
+                some = ~void[cell]
                 less = tc.mix((total[cell] - value) ^ seed[cell])
-                yield docs[cell // p.segments], less
+                yield docs[cell[some] // p.segments], less[some]
+    docs = np.flatnonzero(bare)
+    count = size[docs] - -(-NUM * size[docs] // DEN) + 1
+    doc = np.repeat(docs, count)
+    first = np.repeat(at[docs] - (np.cumsum(count) - count), count) + np.arange(count.sum())  # shingles ascend
+    yield doc, tc.mix(g[first] + tc.mix(np.full(1, 99, tc.U))[0])
 
 
 def _known(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return df.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_fp"), text.alias("_t"))
+    return df.select(F.col(id_col).try_cast("long").alias("_id"), F.xxhash64(text).alias("_fp"), text.alias("_t"))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
@@ -368,14 +383,15 @@ def components(edges: DataFrame) -> DataFrame:
     return store.settle(out, "jaccard-components")
 
 
-#: Sketches compared with one another at once, in rows.
-TILE = 512
+#: Sketches compared with one another at once, and members of a list compared in one task (a long list is cut in tiles of half as many), in rows.
+TILE, LIST_ROWS = 512, 8192
 
 
-def cross_pairs(sid: np.ndarray, comp: np.ndarray, size: np.ndarray, bits: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Of the nodes of one bucket, the pairs of different components that their sketches allow, tile by tile."""
+def cross_pairs(sid: np.ndarray, comp: np.ndarray, size: np.ndarray, bits: list[bytes], side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of the nodes of one bucket, the pairs of different components (and sides, if given) that their sketches allow, tile by tile."""
     order = np.argsort(size, kind="stable")
     sid, comp, size = sid[order], comp[order], size[order]
+    side = np.arange(len(sid)) if side is None else side[order]
     width = min(map(len, bits))
     cells = np.stack([folded(bits[i], width) for i in order])
     left, right = [], []
@@ -384,7 +400,7 @@ def cross_pairs(sid: np.ndarray, comp: np.ndarray, size: np.ndarray, bits: list[
         for j in range(i, most, TILE):
             x, y = slice(i, min(i + TILE, len(sid))), slice(j, min(j + TILE, most))
             for r in range(x.start, x.stop):  # a row against a tile
-                ok = (comp[y] != comp[r]) & (np.arange(y.start, y.stop) > r) & _near(size[y], size[r])
+                ok = (comp[y] != comp[r]) & (side[y] != side[r]) & (np.arange(y.start, y.stop) > r) & _near(size[y], size[r])
                 at = np.flatnonzero(ok)
                 if len(at):
                     at = at[~apart(cells[y][at], cells[r], size[y][at] + size[r])]
@@ -397,31 +413,36 @@ def cross_pairs(sid: np.ndarray, comp: np.ndarray, size: np.ndarray, bits: list[
 def _further(members: DataFrame, comps: DataFrame, sets: DataFrame, n: int) -> DataFrame:
     """Pairs of members of a bucket that are in different components and that sketches allow."""
     named = members.join(comps, "sid", "left").select("bucket", "sid", F.coalesce("comp", "sid").alias("comp"))
-    mixed = named.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-    rows = named.join(mixed, "bucket").join(sets.select("sid", "n", "sketch").hint("merge"), "sid").select("bucket", "sid", "comp", "n", "sketch")
+    mixed = named.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x <> y")
+    mixed = store.settle(mixed.select("bucket", F.when(F.col("m") > LIST_ROWS, F.ceil(F.col("m") * 2 / LIST_ROWS)).otherwise(1).cast("int").alias("tiles")), "jaccard-mixed")
+    rows = named.join(mixed, "bucket").join(sets.select("sid", "n", "sketch").hint("merge"), "sid")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
+    rows = rows.select("bucket", "sid", "comp", "n", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    rows = rows.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "sid", "comp", "n", "sketch", "own")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
         if not len(table):
             return
-        bucket, sid, comp, size = (table.column(c).to_numpy() for c in ("bucket", "sid", "comp", "n"))
-        bits = table.column("sketch").to_pylist()
-        order = np.argsort(bucket, kind="stable")
-        cut = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1], True])
+        bucket, lo, hi, sid, comp, size, own = (table.column(c).to_numpy() for c in ("bucket", "lo", "hi", "sid", "comp", "n", "own"))
+        bits = table.column("sketch")
+        order = np.lexsort((hi, lo, bucket))
+        key = np.stack([bucket[order], lo[order], hi[order]])
+        cut = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0), True])
         for x, y in zip(cut.tolist(), cut[1:].tolist()):
             at = order[x:y]
-            a, b = cross_pairs(sid[at], comp[at], size[at], [bits[i] for i in at.tolist()])
+            a, b = cross_pairs(sid[at], comp[at], size[at], bits.take(pa.array(at)).to_pylist(), own[at] if lo[at[0]] != hi[at[0]] else None)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return rows.repartition(n, "bucket").mapInArrow(match, "a long, b long").distinct()
+    return rows.repartition(n, "bucket", "lo", "hi").mapInArrow(match, "a long, b long").distinct()
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, n_shingles, component_id, and ``_fp`` (a hash of the text)."""
     spark = docs.sparkSession
-    n = ex.partitions(spark)
     src = _known(docs, id_col, text_col)
+    n = ex.partitions(spark, src.agg(F.sum(F.octet_length("_t").cast("long"))).first()[0] or 0)
     info = store.settle(src.mapInArrow(_info, "_id long, _fp long, sid long, n long"), "jaccard-info")
     pairs, members = _candidates(src, n)
     members = store.settle(members.distinct(), "jaccard-members")
@@ -434,7 +455,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         good = good.union(_similar_pairs(more, sets, n))
         comps = components(good)
     named = info.join(comps, "sid", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "sid")))
-    least = named.where("n > 0").groupBy("comp").agg(F.min("_id").alias("least"))
+    least = store.settle(named.where("n > 0").groupBy("comp").agg(F.min("_id").alias("least")), "jaccard-least")  # so that the join can split a large component
     return named.join(least, "comp", "left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("_id")).alias("component_id"), "_fp")
 
 
@@ -446,7 +467,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     free = linked.where(blank).select(F.col(id_col).alias("_kid"), F.col("_fp").alias("_kfp"))
     kept = one.withColumn("_free", F.lit(False)).union(free.distinct().withColumn("_free", F.lit(True)))
     names = [f"c{i}" for i in range(len(docs.columns))]
-    named = docs.toDF(*names).withColumns({"_fid": F.col(names[docs.columns.index(id_col)]).cast("long"), "_ffp": F.xxhash64(F.coalesce(F.col(names[docs.columns.index(text_col)]).cast("string"), F.lit("")))})
+    named = docs.toDF(*names).withColumns({"_fid": F.col(names[docs.columns.index(id_col)]).try_cast("long"), "_ffp": F.xxhash64(F.coalesce(F.col(names[docs.columns.index(text_col)]).cast("string"), F.lit("")))})
     joined = named.join(kept.hint("merge"), F.col("_fid").eqNullSafe(F.col("_kid")) & (F.col("_ffp") == F.col("_kfp")))
     from pyspark.sql import Window
 

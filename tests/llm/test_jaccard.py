@@ -90,3 +90,32 @@ def test_nulls_and_repeats(spark):
     assert got == [(0, 3, 7), (5, 0, 5), (5, 0, 5), (6, 1, 6), (7, 3, 7), (7, 3, 7)]
     kept = keep_first(df)
     assert kept.columns == df.columns and sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(5, ""), (5, " "), (6, "x"), (7, "A b c d e f g")]
+
+
+@pytest.mark.parametrize("words", [(8, 20), (20, 60)])
+def test_unrelated_texts_share_no_subset(words):
+    """No key stands for an empty subset, so unrelated texts give no long lists."""
+    import numpy as np
+
+    from relspark.llm import jaccard
+
+    r = random.Random(1)
+    texts = [" ".join(f"w{r.randrange(10**5)}" for _ in range(r.randrange(*words))).encode() for _ in range(20_000)]
+    g, at = jaccard.shingles(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum(list(map(len, texts)))]))
+    keys = np.concatenate([k[np.unique(np.stack([d.astype(np.uint64), k]), axis=1, return_index=True)[1]] for d, k in jaccard.signatures(g, at)])
+    assert np.unique(keys, return_counts=True)[1].max() <= 4
+
+
+def test_long_lists_in_tiles(spark, monkeypatch):
+    from relspark.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "LIST_ROWS", 16)
+    monkeypatch.setattr(jaccard, "PAIRWISE", 2)
+    r = random.Random(8)
+    rows = []
+    for i in range(120):  # all alike, links of neighbours only
+        w = [f"p{j}" for j in range(70)]
+        for j in range(i % 6):
+            w[10 * j + i // 30] = f"x{i}y{j}"
+        rows.append((i, " ".join(w[: 50 + r.randrange(20)])))
+    check(spark, rows)

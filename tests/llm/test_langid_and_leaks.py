@@ -29,29 +29,74 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
-def test_phrases_against_greedy_parsing():
+def greedy(text, train):
+    """Phrases of a greedy parse, the slow way."""
+    n = at = 0
+    while at < len(text):
+        k = 1
+        while at + k < len(text) and text[at : at + k + 1] in train:
+            k += 1
+        at, n = at + k, n + 1
+    return n
+
+
+@pytest.mark.parametrize("segment", [1, 3, 16, 256])
+def test_phrases_against_greedy_parsing(segment):
     import numpy as np
 
     from relspark.llm.langid import automaton, phrases
 
-    text = " the cat sat on the mat and the hat "
-    alphabet = {c: i + 1 for i, c in enumerate(sorted(set(text)))}
-    table = automaton(text, alphabet)
+    r = random.Random(segment)
+    train = ("".join(r.choice("ab cé") for _ in range(300)) + " the cat sat on the mat and the hat ").encode()
+    model = automaton("x", train)
+    texts = [b"", b"z", b" the ", b" matsat catmat zoo ", train, train[100:] * 3] + ["".join(r.choice("ab cé") + r.choice(["", "", "q", " the "]) for _ in range(r.randrange(0, 400))).encode() for _ in range(60)]
+    offs = np.concatenate([[0], np.cumsum(list(map(len, texts)))])
+    got = phrases(model, np.frombuffer(b"".join(texts), np.uint8), offs, segment)
+    assert got.tolist() == [greedy(t, train) for t in texts]
 
-    def greedy(s):
-        n = at = 0
-        while at < len(s):
-            k = 1
-            while at + k < len(s) and s[at : at + k + 1] in text:
-                k += 1
-            at, n = at + k, n + 1
-        return n
 
-    words = [" the ", " hats ", " zoo ", " matsat ", "z", " t", " catmat "]
-    codes = np.zeros((len(words), 8), np.int32)
-    for i, w in enumerate(words):
-        codes[i, : len(w)] = [alphabet.get(c, 0) for c in w]
-    assert phrases(table, codes, np.array(list(map(len, words)))).tolist() == [greedy(w) for w in words]
+def test_plain_text():
+    import numpy as np
+
+    from relspark.llm.langid import plain
+
+    texts = ["", "  ", "1, 2", "Hello,  WORLD!", "ÉTÉ 3x", "漢字 का", "\U00020000!", "İß", "a"]
+    raw = [t.encode() for t in texts]
+    buf, at, letters = plain(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum(list(map(len, raw)))]))
+    assert [buf[x:y].tobytes().decode() for x, y in zip(at, at[1:])] == ["", "", "", " hello world ", " été x ", " 漢字 का ", " \U00020000 ", " İß ", " a "]
+    assert letters.tolist() == [0, 0, 0, 10, 4, 3, 1, 2, 1]
+
+
+def test_predictions_against_a_slow_parser(spark, monkeypatch):
+    """Whole predictions, with more languages than a block holds."""
+    import math
+
+    from relspark.llm import langid
+
+    monkeypatch.setattr(langid, "BLOCK_LANGUAGES", 2)
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 2000)
+    rows = labelled(200, 3) + [(1000 + i, f"zz{i} qq yy zz{i}", f"rare{i}", "s", 0, "") for i in range(70)] + [(9001, "Der Tag", "de", "s", 0, "")] * 3
+    df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    train = langid.sample(df, "doc_id", "text", "lang")
+    assert {r[2] for r in rows if r[2] and zlib.crc32(str(r[0]).encode()) % 5} == set(train)
+    whole = {" " + " ".join("".join(c if c.isalpha() else " " for c in r[1].lower()).split()) + " " for r in rows}
+    for name, text in train.items():  # whole documents, each once
+        rest, seen = text.decode(), []
+        while rest:
+            part = max((w for w in whole if rest.startswith(w)), key=len)
+            seen.append(part)
+            rest = rest[len(part) :]
+        assert len(text) <= 2100
+    got = langid.identify(df).collect()
+    assert len(got) == len(rows)
+    text_of = {r[0]: r[1] for r in rows}
+    for r in got:
+        t = " " + " ".join("".join(c if c.isalpha() else " " for c in text_of[r.doc_id].lower()).split()) + " "
+        raw = t.encode()
+        cost = {n: greedy(raw, x) * math.log2(len(x)) / len(raw) for n, x in train.items()}
+        best = min(sorted(cost), key=cost.get)
+        second = min(v for n, v in cost.items() if n != best)
+        assert r.lang_pred == best and abs(r.score - (1 - cost[best] / second)) < 1e-9
 
 
 def test_language_of_odd_rows(spark, docs, rows, empty):
@@ -130,7 +175,7 @@ def searched(items, texts):
     return {(d, i): e for d, i, e in search(build(list(range(len(items))), items), buf, offs)}
 
 
-@pytest.mark.parametrize("n", [3, 15, 20, 40, 80])
+@pytest.mark.parametrize("n", [3, 15, 20, 40, 80, 300])
 @pytest.mark.parametrize("percent", [2, 4, 6, 8, 10])
 def test_recall_of_edits_by_share(n, percent):
     from relspark.llm.decontaminate import least_edits
@@ -156,6 +201,22 @@ def test_recall_of_edits_by_share(n, percent):
         assert got[d, i] == least_edits(items[i], " ".join(texts[d].split()).encode(), len(items[i]) // 10)
 
 
+def test_short_items_and_classes(spark, monkeypatch):
+    """Items under 16 bytes exactly, as whole words; blocks by class of length; several blocks a worker."""
+    from relspark.llm import decontaminate as dc
+
+    monkeypatch.setattr(dc, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(dc, "KEPT", 1)
+    long = [f"item number {i} is about the " + " ".join(f"w{i}x{j}" for j in range(12)) for i in range(9)]
+    items = [(1, "Yes"), (2, "new  york"), (3, "a longer one 1"), (4, "yes"), (5, None), (6, ""), (7, "sixteen chars ok"), (8, "of thirty-two characters or more"), *((10 + i, t) for i, t in enumerate(long))]
+    docs = [(1, "well YES sir"), (2, "yesterday in New\nYork"), (3, "new"), (4, "york"), (5, None), (6, "say a longer one 1"), (7, "a longer one 12"), (8, "are sixteen chara ok now"), (9, f"see {long[3]}."), (10, long[8].replace("about", "abaut")), (11, "yes"), (11, "yes")]
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = sorted((r.doc_id, r.item_id, r.edits) for r in dc.leaks(df, bench, shortest=1).collect())
+    assert got == [(1, 1, 0), (1, 4, 0), (2, 2, 0), (6, 3, 0), (8, 7, 1), (9, 13, 0), (10, 18, 1), *[(11, 1, 0)] * 2, *[(11, 4, 0)] * 2]
+    assert sorted((r.doc_id, r.item_id) for r in dc.leaks(df, bench).collect()) == [(8, 7), (9, 13), (10, 18)]
+    assert sorted(r.doc_id for r in dc.clean(df, bench).collect()) == [1, 2, 3, 4, 5, 6, 7, 11, 11]
+
+
 def test_pipeline(spark, docs, rows, tmp_path):
     pytest.importorskip("public_tokenizers")
     from corpus_pipeline import STAGES, run
