@@ -14,7 +14,7 @@ the first one, which takes some phrases only. The result is that of one walk ove
 Languages are learned in blocks of bounded size, each a file in the shared folder, and every
 label is learned. The sample of labelled rows is bounded by ``SAMPLE_DOCS`` whole documents and
 ``SAMPLE_BYTES`` of text a language; documents larger than that are drawn only
-where a language has no other (then its shortest one is).
+where a language has no other (then a short one is).
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, and so
 is every text where nothing is labelled; of languages that need the same bits the first in
@@ -201,9 +201,14 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[s
     """The training text of each language: whole labelled documents that are not held out."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
-    slim = known.select(lang.alias("l"), F.octet_length(text).alias("n"), F.xxhash64(F.lit(11), F.col(id_col), text).alias("h")).distinct()
-    large = F.col("n") > SAMPLE_BYTES
-    rank = F.row_number().over(Window.partitionBy("l").orderBy(large, F.when(large, F.col("n")), "h"))
+    slim = known.select(lang.alias("l"), F.octet_length(text).alias("n"), F.xxhash64(F.lit(11), F.col(id_col), text).alias("h"))
+    fits = F.col("n") <= SAMPLE_BYTES
+    stats = slim.groupBy("l").agg(F.approx_count_distinct(F.when(fits, F.col("h"))).alias("fit"), F.approx_count_distinct("h").alias("all"))
+    # By hash, some times as many as are drawn, so that what is ranked doesn't grow with the input.
+    share = F.lit(8.0 * SAMPLE_DOCS * (1 << 31)) / F.when(F.col("fit") > 0, F.col("fit")).otherwise(F.col("all"))
+    some = slim.join(F.broadcast(stats), "l").where((fits | (F.col("fit") == 0)) & (F.pmod("h", F.lit(1 << 31)) < share))  # stats: a row a language
+    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.when(~fits, F.col("n")), "h"))
+    slim = some.select("l", "n", "h").distinct()
     drawn: dict[str, list] = {}
     for r in slim.withColumn("r", rank).where(F.col("r") <= SAMPLE_DOCS).collect():  # SAMPLE_DOCS numbers a language
         drawn.setdefault(r.l, []).append((r.r, r.n, r.h))
