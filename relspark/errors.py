@@ -59,10 +59,30 @@ class TableExistsError(ProgrammingError):
     pass
 
 
+class IndexExistsError(TableExistsError):
+    pass
+
+
+class ColumnExistsError(ProgrammingError):
+    pass
+
+
+class NoSuchIndexError(NoSuchTableError):
+    pass
+
+
 class ConstraintError(IntegrityError):
     pass
 
 
+class NotNullError(ConstraintError):
+    pass
+
+
+class CheckError(ConstraintError):
+    pass
+
+
 class UniqueConstraintError(ConstraintError):
     pass
 

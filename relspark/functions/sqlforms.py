@@ -16,8 +16,13 @@ def _both_integral(a: str, b: str) -> str:
 
 
 def divide(a: str, b: str) -> str:
-    """Integers: the floor; a real operand: the quotient; by zero: NULL. ``typeof`` folds to a constant."""
-    return f"(CASE WHEN {_both_integral(a, b)} THEN floor(try_divide(CAST({a} AS DOUBLE), {b})) ELSE try_divide(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) END)"
+    """Integers: the floor, exactly, as bigint; a real operand: the quotient as double; by zero: NULL.
+
+    ``typeof`` folds to a constant; a variant holds either result, so neither is cast to the other's type.
+    """
+    kind = f"regexp_replace(regexp_replace(typeof({a} % {b}), '^(tiny|small|big)?int$', 'bigint'), '^(float|decimal.*)$', 'double')"
+    whole = f"CAST(try_cast({a} AS BIGINT) div nullif(try_cast({b} AS BIGINT), 0) - CASE WHEN try_mod({a}, {b}) <> 0 AND ({a} < 0) <> ({b} < 0) THEN 1 ELSE 0 END AS VARIANT)"
+    return f"variant_get(CASE WHEN {_both_integral(a, b)} THEN {whole} ELSE CAST(try_divide(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS VARIANT) END, '$', {kind})"
 
 
 def modulo(a: str, b: str) -> str:

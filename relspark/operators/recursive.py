@@ -6,19 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from ..errors import OperationalError
 from ..sources import shared
 
 
-def fixpoint(base: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int = 1000) -> DataFrame:
+#: Rounds after which a recursion counts as endless.
+ROUNDS = 1000
+
+
+def fixpoint(base: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int | None = None) -> DataFrame:
     """All rows reached from ``base`` by ``step``; a row seen before (nulls equal) is not followed again.
 
-    Each round's new rows are written to the shared folder, which ends the lineage.
+    Each round's new rows are written to the shared folder, which ends the lineage. If rows still
+    come after ``rounds`` rounds, that is an error, never a part of the result.
     """
-    spark = base.sparkSession
+    spark, rounds = base.sparkSession, ROUNDS if rounds is None else rounds
     names = base.columns
     new = shared.settle(base.distinct(), "recursive")
     seen = new
-    for _ in range(rounds):
+    for _ in range(rounds + 1):
         got = step(new).toDF(*names).distinct()
         old = seen.toDF(*(f"_{i}" for i in range(len(names))))
         same = None
@@ -27,6 +33,6 @@ def fixpoint(base: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: in
             same = one if same is None else same & one
         new = shared.settle(got.join(old, same, "left_anti"), "recursive")
         if new.isEmpty():
-            break
+            return seen
         seen = seen.union(spark.read.schema(new.schema).parquet(*new.inputFiles()))
-    return seen
+    raise OperationalError(f"recursion did not end in {rounds} rounds")

@@ -8,6 +8,7 @@ texts are the same. Every query reads its whole tables.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,9 +74,9 @@ _SQL: dict[str, tuple[str, str | None]] = {
     "lateral_agg": ("SELECT c.c_custkey, x.n, x.total FROM customer c LEFT JOIN LATERAL (SELECT COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total FROM orders o WHERE o.o_custkey = c.c_custkey) x ON true", None),
     # subqueries
     "sub_in": ("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)", None),
-    "sub_not_in": ("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", None),
+    "sub_not_in": ("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)", None),
     "sub_exists": ("SELECT s_suppkey FROM supplier s WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_quantity > 49)", None),
-    "sub_not_exists": ("SELECT p_partkey FROM part p WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_discount > 0.05)", None),
+    "sub_not_exists": ("SELECT p_partkey FROM part p WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_quantity > 48)", None),
     "sub_scalar_where": ("SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT AVG(o_totalprice) FROM orders)", None),
     "sub_scalar_select": ("SELECT c_custkey, (SELECT MAX(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS top FROM customer", None),
     "sub_corr_scalar": ("SELECT o.o_orderkey FROM orders o WHERE o.o_totalprice = (SELECT MAX(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)", None),
@@ -100,6 +101,13 @@ _SQL: dict[str, tuple[str, str | None]] = {
     "win_rolling_rows": ("SELECT event_id, MAX(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 2 PRECEDING) AS m FROM events", None),
     "win_whole_partition": ("SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS n, MAX(o_totalprice) OVER (PARTITION BY o_custkey) AS top FROM orders", "SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_custkey) AS n, MAX(o_totalprice) OVER (PARTITION BY o_custkey) AS top FROM orders"),
     "win_named": ("SELECT o_orderkey, ROW_NUMBER() OVER w AS rn FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)", "SELECT o_orderkey, (ROW_NUMBER() OVER w)::INT AS rn FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)"),
+    "win_range": ("SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM orders", None),
+    "win_range_offset": ("SELECT p_partkey, COUNT(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS n FROM part", None),
+    "win_groups": ("SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n FROM orders", None),
+    "win_named_frame": (
+        "SELECT o_orderkey, COUNT(*) OVER w AS n, LAST_VALUE(o_orderkey) OVER w AS l, RANK() OVER w AS r FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)",
+        "SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_custkey) AS n, MAX(o_orderkey) OVER (PARTITION BY o_custkey) AS l, (RANK() OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::INT AS r FROM orders",
+    ),
     # sort and limit
     "sort_nulls_last": ("SELECT ROW_NUMBER() OVER (ORDER BY x.v, x.k) AS rn, x.k FROM (SELECT r_regionkey AS k, NULLIF(r_regionkey, 2) AS v FROM region) x", "SELECT (ROW_NUMBER() OVER (ORDER BY v NULLS LAST, k))::INT AS rn, k FROM (SELECT r_regionkey AS k, NULLIF(r_regionkey, 2) AS v FROM region) x"),
     "sort_nulls_first": ("SELECT k FROM (SELECT n_nationkey AS k, NULLIF(n_regionkey, 2) AS v FROM nation) x ORDER BY v NULLS FIRST, k LIMIT 4", None),
@@ -113,7 +121,7 @@ _SQL: dict[str, tuple[str, str | None]] = {
     "union_all": ("SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier", None),
     "intersect": ("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier", None),
     "intersect_all": ("SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier", None),
-    "except": ("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem", None),
+    "except": ("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 48", None),
     "except_all": ("SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier", None),
     "set_op_chain": ("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000 UNION SELECT 99", None),
     # CTEs
@@ -129,7 +137,7 @@ _SQL: dict[str, tuple[str, str | None]] = {
     "fn_printf": ("SELECT p_partkey, PRINTF('%05d|%-8s|%.2f|%x', p_partkey, p_brand, p_retailprice, p_size) AS f FROM part", "SELECT p_partkey, printf('%05d|%-8s|%.2f|%x', p_partkey, p_brand, p_retailprice, p_size) AS f FROM part"),
     "fn_math": ("SELECT c_custkey, ABS(c_acctbal) AS a, CEIL(c_acctbal) AS c, FLOOR(c_acctbal) AS f FROM customer", "SELECT c_custkey, abs(c_acctbal) AS a, ceil(c_acctbal)::BIGINT AS c, floor(c_acctbal)::BIGINT AS f FROM customer"),
     "fn_round": ("SELECT l_orderkey, l_linenumber, ROUND(l_quantity + 0.5) AS r0 FROM lineitem", "SELECT l_orderkey, l_linenumber, round_even(l_quantity + 0.5, 0)::BIGINT AS r0 FROM lineitem"),
-    "fn_mod_div": ("SELECT n_nationkey, MOD(n_nationkey - 12, 5) AS m, (n_nationkey - 12) % -5 AS m2, (n_nationkey - 12) / 5 AS d, n_nationkey / 0 AS z, n_nationkey / 2.0 AS h FROM nation", "SELECT n_nationkey, ((n_nationkey - 12) - 5 * floor((n_nationkey - 12) / 5))::INT AS m, ((n_nationkey - 12) + 5 * floor((n_nationkey - 12) / -5))::INT AS m2, floor((n_nationkey - 12) / 5)::DOUBLE AS d, NULL::DOUBLE AS z, n_nationkey / 2.0::DOUBLE AS h FROM nation"),
+    "fn_mod_div": ("SELECT n_nationkey, MOD(n_nationkey - 12, 5) AS m, (n_nationkey - 12) % -5 AS m2, (n_nationkey - 12) / 5 AS d, n_nationkey / 0 AS z, n_nationkey / 2.0 AS h FROM nation", "SELECT n_nationkey, ((n_nationkey - 12) - 5 * floor((n_nationkey - 12) / 5))::INT AS m, ((n_nationkey - 12) + 5 * floor((n_nationkey - 12) / -5))::INT AS m2, floor((n_nationkey - 12) / 5)::BIGINT AS d, NULL::BIGINT AS z, n_nationkey / 2.0::DOUBLE AS h FROM nation"),
     "fn_cast": ("SELECT c_custkey, CAST(c_acctbal AS INTEGER) AS i, CAST(c_custkey AS REAL) AS r, CAST('12.7x' AS INTEGER) AS bad, CAST('12.7' AS INTEGER) AS good, CAST(c_nationkey AS TEXT) AS t FROM customer", "SELECT c_custkey, trunc(c_acctbal)::BIGINT AS i, c_custkey::DOUBLE AS r, NULL::BIGINT AS bad, 12::BIGINT AS good, c_nationkey::VARCHAR AS t FROM customer"),
     "fn_coalesce_nullif": ("SELECT n_nationkey, COALESCE(NULLIF(n_regionkey, 0), -1) AS a, IFNULL(NULLIF(n_regionkey, 1), 7) AS b FROM nation", None),
     "fn_case": ("SELECT p_partkey, CASE WHEN p_size = 1 THEN 'one' WHEN p_size IN (2, 3) AND p_retailprice IS NOT NULL THEN 'few' ELSE 'many' END AS c, CASE p_size WHEN 1 THEN 10 ELSE 20 END AS d FROM part", None),
@@ -144,7 +152,23 @@ _SQL: dict[str, tuple[str, str | None]] = {
     "lateral_json_each": ("SELECT e.event_id, j.key AS k, j.value AS v, j.type AS t FROM events e, json_each(e.props) j", "SELECT event_id, j.key AS k, (props::JSON ->> j.key) AS v, CASE WHEN json_type(props, '$.' || j.key) IN ('UBIGINT', 'BIGINT') THEN 'integer' ELSE 'other' END AS t FROM events, LATERAL (SELECT unnest(json_keys(props)) AS key) j"),
     "json_patch": ("SELECT n_nationkey, JSON_PATCH('{\"a\":1,\"b\":{\"c\":2}}', '{\"a\":null,\"b\":{\"d\":3}}') AS p FROM nation", "SELECT n_nationkey, json_merge_patch('{\"a\":1,\"b\":{\"c\":2}}', '{\"a\":null,\"b\":{\"d\":3}}')::VARCHAR AS p FROM nation"),
     "json_array_length": ("SELECT n_nationkey, JSON_ARRAY_LENGTH('[1,2,3]') AS a, JSON_ARRAY_LENGTH('{\"x\":[1]}', '$.x') AS b, JSON_ARRAY_LENGTH('{}') AS c FROM nation", "SELECT n_nationkey, 3 AS a, 1 AS b, NULL::INT AS c FROM nation"),
+    "json_quote": ("SELECT n_nationkey, JSON_QUOTE(n_name || '\"') AS a, JSON_QUOTE(n_nationkey) AS b FROM nation", "SELECT n_nationkey, to_json(n_name || '\"')::VARCHAR AS a, n_nationkey::VARCHAR AS b FROM nation"),
+    "json_minify": ("SELECT n_nationkey, JSON('{\"a\" : ' || n_nationkey || ' , \"b\": [1, 2]}') AS j FROM nation", "SELECT n_nationkey, '{\"a\":' || n_nationkey || ',\"b\":[1,2]}' AS j FROM nation"),
+    "json_tree": ("SELECT e.event_id, j.fullkey AS f FROM events e, json_tree(e.props) j", "SELECT event_id, '$' AS f FROM events WHERE props IS NOT NULL UNION ALL SELECT event_id, '$.' || j.key FROM events, LATERAL (SELECT unnest(json_keys(props)) AS key) j"),
     # further reads
+    "row_not_in_subquery": ("SELECT n_nationkey FROM nation WHERE (n_nationkey, n_regionkey) NOT IN (SELECT s_nationkey, 1 FROM supplier)", None),
+    "sort_rtrim": ("SELECT n_name FROM nation ORDER BY n_name || '  ' COLLATE RTRIM DESC, n_nationkey LIMIT 10", "SELECT n_name FROM nation ORDER BY rtrim(n_name || '  ') DESC, n_nationkey LIMIT 10"),
+    "fn_round_digits": ("SELECT l_orderkey, l_linenumber, ROUND(l_quantity * 0.125, 2) AS r FROM lineitem", "SELECT l_orderkey, l_linenumber, round_even(l_quantity * 0.125::DOUBLE, 2) AS r FROM lineitem"),
+    "fn_div_big": (
+        "SELECT n_nationkey, (9007199254740993 + n_nationkey) / 1 AS a, (-9007199254740993 - n_nationkey) / 2 AS b, 7 / (n_nationkey - 3) AS c FROM nation",
+        "SELECT n_nationkey, 9007199254740993 + n_nationkey AS a, (-9007199254740993 - n_nationkey - (9007199254740993 + n_nationkey) % 2) // 2 AS b, CASE WHEN n_nationkey <> 3 THEN floor(7 / (n_nationkey - 3))::BIGINT END AS c FROM nation",
+    ),
+    "fn_random": ("SELECT n_nationkey, TYPEOF(RANDOM()) AS a, TYPEOF(RANDOMBLOB(4)) AS b FROM nation", "SELECT n_nationkey, 'integer' AS a, 'blob' AS b FROM nation"),
+    "fn_current": ("SELECT r_name, LENGTH(CURRENT_TIMESTAMP) AS a, LENGTH(CURRENT_DATE) AS b, LENGTH(CURRENT_TIME) AS c FROM region", "SELECT r_name, 19 AS a, 10 AS b, 8 AS c FROM region"),
+    "fn_format": ("SELECT p_partkey, FORMAT('%s:%5.1f', p_brand, p_retailprice) AS f FROM part", "SELECT p_partkey, printf('%s:%5.1f', p_brand, p_retailprice) AS f FROM part"),
+    "with_set_op": ("WITH a AS (SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 0) SELECT k FROM a UNION SELECT s_nationkey + 10 FROM supplier EXCEPT SELECT 3", None),
+    "join_cte_view": ("WITH big AS (SELECT n_name AS name, n_regionkey FROM nation WHERE n_nationkey > 5) SELECT b.name, v.n FROM big b JOIN nation_customers v ON b.name = v.n_name", "SELECT n_name AS name, COUNT(*) AS n FROM nation JOIN customer ON n_nationkey = c_nationkey WHERE n_nationkey > 5 GROUP BY n_name"),
+    "inline_values": ("SELECT v.x, n_name FROM (VALUES (1, 'a'), (2, 'b')) v(x, y) JOIN nation ON n_nationkey = v.x", None),
     "view_query": ("SELECT n_name, n FROM nation_customers WHERE n > 10", "SELECT n_name, n FROM (SELECT n_name, COUNT(*) AS n FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY n_name) WHERE n > 10"),
     "generated_column": ("SELECT l_orderkey, l_linenumber, net FROM (SELECT *, l_extendedprice * (1 - l_discount) AS net FROM lineitem) g WHERE net > 90000", None),
     "fk_orphans": ("SELECT l_orderkey, l_linenumber FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = l.l_partkey AND p.p_size > 5)", None),
@@ -209,6 +233,161 @@ def _database(script: str, query: str, *tables: str) -> Callable[[SparkSession,
     return run
 
 
+def _result(script: str, statement: str, *tables: str, then: Callable[[DataFrame], DataFrame] = lambda df: df) -> Callable[[SparkSession, str], DataFrame]:
+    """What a last statement itself returns (RETURNING, PRAGMA, EXPLAIN, ...)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ..sources.database import Database
+
+        db = Database(spark=spark)
+        for t in tables:
+            db.register(t, _table(spark, sf_dir, t))
+        db.executescript(script)
+        return then(db.run(statement)[0])
+
+    return run
+
+
+#: Statements that must fail, each after the ones before, and the error's name.
+_FAILING = {
+    "INSERT INTO t VALUES (1, 9, 'x')": "UniqueConstraintError",
+    "INSERT INTO t VALUES (99, NULL, 'x')": "NotNullError",
+    "INSERT INTO t VALUES (99, -1, 'x')": "CheckError",
+    "INSERT INTO t VALUES (99, 1, 'long text')": "DataError",
+    "INSERT INTO t (nope) VALUES (1)": "NoSuchColumnError",
+    "INSERT INTO c VALUES (5, 1000)": "ForeignKeyError",
+    "DELETE FROM t WHERE id = 3": "ForeignKeyError",
+    "UPDATE t SET id = 1 WHERE id = 2": "UniqueConstraintError",
+    "DELETE FROM t WHERE id = 4": "ConstraintError",
+    "CREATE TABLE t (a INTEGER)": "TableExistsError",
+    "CREATE INDEX i ON t (n)": "IndexExistsError",
+    "DROP INDEX j": "NoSuchIndexError",
+    "ALTER TABLE t ADD COLUMN n INTEGER": "ColumnExistsError",
+    "SELECT * FROM nowhere": "NoSuchTableError",
+    "SELEC 1": "ParseError",
+    "ROLLBACK": "TransactionError",
+    "WITH RECURSIVE r(n) AS (SELECT 0 UNION SELECT n + 1 FROM r) SELECT n FROM r": "OperationalError",
+}
+
+
+def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .. import errors as er
+    from ..operators import recursive as rec
+    from ..sources.database import Database
+
+    db = Database(spark=spark)
+    db.register("nation", _table(spark, sf_dir, "nation"))
+    db.executescript(
+        "CREATE TABLE t (id INTEGER PRIMARY KEY, n INTEGER NOT NULL CHECK (n >= 0), v VARCHAR(4)); CREATE TABLE c (id INTEGER PRIMARY KEY, tid INTEGER REFERENCES t(id)); INSERT INTO t SELECT n_nationkey, n_regionkey, 'v' FROM nation;"
+        " INSERT INTO c VALUES (1, 3); CREATE INDEX i ON t (n); CREATE TRIGGER keep BEFORE DELETE ON t WHEN OLD.id = 4 BEGIN SELECT RAISE(ABORT, 'keep'); END;"
+    )
+    rows, rounds = [], rec.ROUNDS
+    rec.ROUNDS = 3
+    try:
+        for sql in _FAILING:
+            try:
+                got = db.run(sql)[0]
+                rows.append((sql, "none" if got is None or got.count() >= 0 else ""))
+            except er.Error as e:
+                rows.append((sql, type(e).__name__))
+    finally:
+        rec.ROUNDS = rounds
+    return spark.createDataFrame([*rows, ("rows left", str(db.query("SELECT COUNT(*) FROM t").first()[0]))], "sql string, error string")
+
+
+def _dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A database made anew from the dump of another."""
+    from ..sources.database import Database
+
+    one, two = Database(spark=spark), Database(spark=spark)
+    one.register("nation", _table(spark, sf_dir, "nation"))
+    one.executescript("CREATE TABLE t (k INTEGER PRIMARY KEY, v TEXT); INSERT INTO t SELECT n_nationkey, n_name || '''' FROM nation WHERE n_regionkey < 2; CREATE VIEW w AS SELECT k FROM t WHERE k > 3; DROP TABLE nation;")
+    two.executescript("\n".join(one.iterdump()))
+    return two.query("SELECT t.k, t.v FROM t JOIN w ON t.k = w.k")
+
+
+def _many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.database import Database
+
+    db = Database(spark=spark)
+    db.execute("CREATE TABLE t (k INTEGER PRIMARY KEY, v TEXT, w REAL)")
+    db.executemany("INSERT INTO t (v, w) VALUES (?, ? + 1)", [(f"it's {i}", i) for i in range(200)])
+    return db.query("SELECT k, v, w FROM t WHERE k <> LAST_INSERT_ROWID()")
+
+
+def _user_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.database import Database
+
+    db = Database(spark=spark)
+    db.register("nation", _table(spark, sf_dir, "nation"))
+    db.create_function("twice", 1, lambda s: None if s is None else s + s)
+    return db.query("SELECT n_nationkey, twice(n_name) AS t FROM nation")
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by type, counted by a stream that reads the files as they come."""
+    from ..streaming.incremental import event_stream
+
+    source = f"{sf_dir}/events.parquet"
+    counts = event_stream(spark, f"{source}*", spark.read.parquet(source).schema).groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    name = f"events_{uuid.uuid4().hex[:8]}"
+    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+_NATION = "CREATE TABLE t (k INTEGER PRIMARY KEY, r INTEGER, v TEXT); INSERT INTO t SELECT n_nationkey, n_regionkey, n_name FROM nation; "
+_ALL = "SELECT n_nationkey::BIGINT AS k, n_regionkey::BIGINT AS r, n_name AS v FROM nation"
+_STATEMENTS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "statement_errors": (_errors, "SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(k.replace("'", "''"), v) for k, v in _FAILING.items()) + ") x(sql, error) UNION ALL SELECT 'rows left', COUNT(*)::VARCHAR FROM nation"),
+    "insert_returning": (_result(_NATION, "INSERT INTO t VALUES (100, 1, 'a' || 'b'), (101, 2, NULL) RETURNING k, v, r * 2 AS d", "nation"), "SELECT 100::BIGINT AS k, 'ab' AS v, 2::BIGINT AS d UNION ALL SELECT 101, NULL, 4"),
+    "update_returning": (_result(_NATION, "UPDATE t SET r = r + 10, v = v || r WHERE k IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) RETURNING k, v", "nation"), "SELECT n_nationkey::BIGINT AS k, n_name || (n_regionkey + 10) AS v FROM nation WHERE n_regionkey = 2"),
+    "update_limit": (_database(_NATION + "UPDATE t SET r = -1 LIMIT 4;", "SELECT r = -1 AS hit, COUNT(*) AS n FROM t GROUP BY r = -1", "nation"), "SELECT true AS hit, 4::BIGINT AS n UNION ALL SELECT false, COUNT(*) - 4 FROM nation"),
+    "delete_returning": (_result(_NATION, "DELETE FROM t WHERE r = 3 AND k > 5 RETURNING k", "nation"), "SELECT n_nationkey::BIGINT AS k FROM nation WHERE n_regionkey = 3 AND n_nationkey > 5"),
+    "delete_limit": (_database(_NATION + "DELETE FROM t WHERE r = 1 LIMIT 2;", "SELECT COUNT(*) AS n FROM t", "nation"), "SELECT COUNT(*) - 2 AS n FROM nation"),
+    "update_subquery": (_database("UPDATE customer SET c_acctbal = 0 WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1);", "SELECT c_custkey, c_acctbal FROM customer", "customer", "nation"), "SELECT c_custkey, CASE WHEN n_regionkey = 1 THEN 0 ELSE c_acctbal END AS c_acctbal FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey"),
+    "dml_upsert_nulls": (
+        _database("CREATE TABLE t (id INTEGER PRIMARY KEY, u INTEGER UNIQUE, v INTEGER); INSERT INTO t (u, v) SELECT n_nationkey, 1 FROM nation; INSERT INTO t (u, v) VALUES (NULL, 7), (NULL, 7), (3, 10), (3, 100), (500, 1), (500, 2) ON CONFLICT (u) DO UPDATE SET v = v + excluded.v;", "SELECT u, v FROM t", "nation"),
+        "SELECT n_nationkey::BIGINT AS u, CASE WHEN n_nationkey = 3 THEN 111 ELSE 1 END::BIGINT AS v FROM nation UNION ALL SELECT NULL, 7 UNION ALL SELECT NULL, 7 UNION ALL SELECT 500, 3",
+    ),
+    "insert_ignore_checked": (_database("CREATE TABLE t (k INTEGER PRIMARY KEY, r INTEGER NOT NULL CHECK (r <> 2)); INSERT OR IGNORE INTO t SELECT n_nationkey, NULLIF(n_regionkey, 4) FROM nation;", "SELECT k, r FROM t", "nation"), "SELECT n_nationkey::BIGINT AS k, n_regionkey::BIGINT AS r FROM nation WHERE n_regionkey NOT IN (2, 4)"),
+    "insert_autokey": (_database("CREATE TABLE t (k INTEGER PRIMARY KEY, v TEXT); INSERT INTO t (v) SELECT n_name FROM nation; INSERT INTO t VALUES (1000, 'x'); INSERT INTO t (v) VALUES ('y');", "SELECT MIN(k) AS a, MAX(k) AS b, COUNT(DISTINCT k) AS n FROM t", "nation"), "SELECT 1::BIGINT AS a, 1001::BIGINT AS b, COUNT(*) + 2 AS n FROM nation"),
+    "ddl_alter": (_database(_NATION + "ALTER TABLE t ADD COLUMN d INTEGER DEFAULT 4; ALTER TABLE t RENAME COLUMN v TO name; ALTER TABLE t DROP COLUMN r; ALTER TABLE t RENAME TO u;", "SELECT k, name, d FROM u", "nation"), "SELECT n_nationkey::BIGINT AS k, n_name AS name, 4::BIGINT AS d FROM nation"),
+    "ddl_view": (_database(_NATION + "CREATE VIEW w AS SELECT r, COUNT(*) AS n FROM t GROUP BY r; CREATE VIEW x AS SELECT r FROM w WHERE n > 4; DELETE FROM t WHERE r = 0;", "SELECT w.r, w.n FROM w JOIN x ON w.r = x.r", "nation"), "SELECT n_regionkey::BIGINT AS r, COUNT(*) AS n FROM nation WHERE n_regionkey <> 0 GROUP BY n_regionkey HAVING COUNT(*) > 4"),
+    "ddl_generated": (_database("CREATE TABLE g (k INTEGER PRIMARY KEY, w REAL, h REAL AS (w * 2) VIRTUAL, s REAL AS (w + 1) STORED); INSERT INTO g (k, w) SELECT c_custkey, c_acctbal FROM customer; UPDATE g SET w = 0 WHERE k < 10;", "SELECT k, h, s FROM g", "customer"), "SELECT c_custkey::BIGINT AS k, CASE WHEN c_custkey < 10 THEN 0 ELSE c_acctbal END * 2 AS h, CASE WHEN c_custkey < 10 THEN 0 ELSE c_acctbal END + 1 AS s FROM customer"),
+    "ddl_master": (_database(_NATION + "CREATE INDEX i ON t (r); CREATE VIEW w AS SELECT k FROM t; CREATE TABLE gone (a INTEGER); DROP TABLE gone; DROP TABLE nation;", "SELECT type, name, tbl_name FROM _relspark_master", "nation"), "SELECT 'table' AS type, 't' AS name, 't' AS tbl_name UNION ALL SELECT 'index', 'i', 't' UNION ALL SELECT 'view', 'w', 'w'"),
+    "schema_meta": (_database(_NATION + "INSERT INTO _relspark_schema_meta VALUES ('table', 't', 'owner', 'me'), ('table', 't', 'note', 'x'); UPDATE _relspark_schema_meta SET value = 'you' WHERE key = 'owner'; DELETE FROM _relspark_schema_meta WHERE key = 'note';", "SELECT object_type, object_name, key, value FROM _relspark_schema_meta", "nation"), "SELECT 'table' AS object_type, 't' AS object_name, 'owner' AS key, 'you' AS value"),
+    "pragma_table_info": (_result(_NATION, "PRAGMA table_info(t)", "nation", then=lambda df: df.select("cid", "name", "type", "pk")), "SELECT 0::BIGINT AS cid, 'k' AS name, 'INTEGER' AS type, 1::BIGINT AS pk UNION ALL SELECT 1, 'r', 'INTEGER', 0 UNION ALL SELECT 2, 'v', 'TEXT', 0"),
+    "pragma_integrity": (_result(_NATION + "CREATE UNIQUE INDEX i ON t (v);", "PRAGMA integrity_check", "nation"), "SELECT 'ok' AS integrity_check"),
+    "explain_plan": (_result(_NATION, "EXPLAIN QUERY PLAN SELECT r, COUNT(*) FROM t GROUP BY r", "nation", then=lambda df: df.select((F.max("id") > 0).alias("lines"), (F.max("parent") > 0).alias("nested"), (F.min("notused") == 0).alias("zero")).limit(1)), "SELECT true AS lines, true AS nested, true AS zero"),
+    "analyze_statement": (_result(_NATION, "ANALYZE t", "nation"), "SELECT 'k' AS column_name, COUNT(*) AS row_count, COUNT(DISTINCT n_nationkey) AS ndv, 't' AS table_name FROM nation UNION ALL SELECT 'r', COUNT(*), COUNT(DISTINCT n_regionkey), 't' FROM nation UNION ALL SELECT 'v', COUNT(*), COUNT(DISTINCT n_name), 't' FROM nation"),
+    "vacuum": (_database(_NATION + "DELETE FROM t WHERE r = 0; INSERT INTO t VALUES (90, 0, 'z'); VACUUM;", "SELECT k, r, v FROM t", "nation"), f"SELECT * FROM ({_ALL}) WHERE r <> 0 UNION ALL SELECT 90, 0, 'z'"),
+    "rowid_lookup": (_database(_NATION, "SELECT k, v FROM t WHERE k = 7", "nation"), "SELECT n_nationkey::BIGINT AS k, n_name AS v FROM nation WHERE n_nationkey = 7"),
+    "fk_set_null_update_cascade": (
+        _database("CREATE TABLE p (id INTEGER PRIMARY KEY); CREATE TABLE c (id INTEGER PRIMARY KEY, pid INTEGER REFERENCES p(id) ON DELETE SET NULL ON UPDATE CASCADE); INSERT INTO p SELECT r_regionkey FROM region; INSERT INTO c SELECT n_nationkey, n_regionkey FROM nation; DELETE FROM p WHERE id = 2; UPDATE p SET id = id + 50 WHERE id = 3;", "SELECT id, pid FROM c", "region", "nation"),
+        "SELECT n_nationkey::BIGINT AS id, CASE WHEN n_regionkey = 2 THEN NULL WHEN n_regionkey = 3 THEN 53 ELSE n_regionkey END::BIGINT AS pid FROM nation",
+    ),
+    "trigger_set_insert": (_database(_NATION + "CREATE TABLE log (k INTEGER, what TEXT); CREATE TRIGGER a AFTER INSERT ON t BEGIN INSERT INTO log VALUES (NEW.k, 'in ' || NEW.v); END; INSERT INTO t SELECT n_nationkey + 100, 0, n_name FROM nation;", "SELECT k, what FROM log", "nation"), "SELECT n_nationkey::BIGINT + 100 AS k, 'in ' || n_name AS what FROM nation"),
+    "trigger_row_update": (_database(_NATION + "CREATE TABLE total (r INTEGER PRIMARY KEY, n INTEGER); INSERT INTO total VALUES (0, 0), (1, 0); CREATE TRIGGER a AFTER DELETE ON t BEGIN UPDATE total SET n = n + 1 WHERE r = OLD.r; END; DELETE FROM t WHERE k IN (0, 1, 2);", "SELECT r, n FROM total", "nation"), "SELECT r::BIGINT AS r, (SELECT COUNT(*) FROM nation WHERE n_nationkey IN (0, 1, 2) AND n_regionkey = r) AS n FROM (VALUES (0), (1)) x(r)"),
+    "trigger_instead_of": (_database(_NATION + "CREATE VIEW w AS SELECT k, v FROM t WHERE k < 3; CREATE TRIGGER a INSTEAD OF INSERT ON w BEGIN INSERT INTO t VALUES (NEW.k, 9, NEW.v); END; INSERT INTO w VALUES (70, 'via');", "SELECT k, r, v FROM t", "nation"), f"{_ALL} UNION ALL SELECT 70, 9, 'via'"),
+    "transaction_commit": (_database(_NATION + "BEGIN; DELETE FROM t WHERE r = 1; COMMIT; BEGIN; DELETE FROM t; ROLLBACK;", "SELECT k FROM t", "nation"), "SELECT n_nationkey::BIGINT AS k FROM nation WHERE n_regionkey <> 1"),
+    "register_filtered": (lambda spark, sf_dir: _registered(spark, sf_dir), "SELECT n_nationkey, n_regionkey * 2 AS r2 FROM nation WHERE n_regionkey = 3"),
+    "recursive_union_sql": (_result("", "WITH RECURSIVE r(k) AS (SELECT 0 UNION SELECT (k * 7 + 3) % 25 FROM r JOIN nation ON n_nationkey = k) SELECT k FROM r", "nation"), "WITH RECURSIVE r(k) AS (SELECT 0 UNION SELECT (k * 7 + 3) % 25 FROM r) SELECT k::INT AS k FROM r"),
+    "dump_and_restore": (_dump, "SELECT n_nationkey::BIGINT AS k, n_name || '''' AS v FROM nation WHERE n_regionkey < 2 AND n_nationkey > 3"),
+    "executemany": (_many, "SELECT i + 1 AS k, 'it''s ' || i AS v, (i + 1)::DOUBLE AS w FROM range(199) t(i)"),
+    "user_function": (_user_function, "SELECT n_nationkey, n_name || n_name AS t FROM nation"),
+    "stream_counts": (_streamed, "SELECT event_type, COUNT(*) AS n, MAX(event_id) AS last FROM events GROUP BY event_type"),
+}
+
+
+def _registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.database import Database
+
+    db = Database(spark=spark)
+    db.register("n3", _table(spark, sf_dir, "nation").where("n_regionkey = 3").withColumn("r2", F.col("n_regionkey") * 2))
+    return db.query("SELECT n_nationkey, r2 FROM n3")
+
+
 _DML: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "dml_insert_select": (_database("CREATE TABLE big (k INTEGER PRIMARY KEY, name TEXT); INSERT INTO big SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 5000;", "SELECT k, name FROM big", "customer"), "SELECT c_custkey AS k, c_name AS name FROM customer WHERE c_acctbal > 5000"),
     "dml_update": (_database("UPDATE customer SET c_acctbal = c_acctbal + 100, c_mktsegment = UPPER(c_name) WHERE c_nationkey = 3;", "SELECT c_custkey, c_acctbal, c_mktsegment FROM customer", "customer"), "SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN c_acctbal + 100 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_nationkey = 3 THEN upper(c_name) ELSE c_mktsegment END AS c_mktsegment FROM customer"),
@@ -247,8 +426,8 @@ _MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: (lambda s, d, q=v[0]: run_sql(s, d, q)) for k, v in _SQL.items()}
-    return found | {k: v[0] for k, v in (_MORE | _DML).items()}
+    return found | {k: v[0] for k, v in (_MORE | _DML | _STATEMENTS).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v[1] or v[0] for k, v in _SQL.items()} | {k: v[1] for k, v in (_MORE | _DML).items() if v[1]}
+    return {k: v[1] or v[0] for k, v in _SQL.items()} | {k: v[1] for k, v in (_MORE | _DML | _STATEMENTS).items() if v[1]}

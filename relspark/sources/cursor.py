@@ -6,12 +6,16 @@ import asyncio
 import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
+from itertools import islice
 from typing import Any
 
 from pyspark.sql import DataFrame
 
 from .. import errors as er
-from .database import Database, iterate
+from ..dialect import Token, _close, tokenize
+from .database import Database, bind, iterate
+from .ddl import text
 
 
 class Row(tuple):
@@ -55,19 +59,25 @@ class Cursor:
     def execute(self, sql: str, params: Sequence | dict | None = None, timeout_ms: int | None = None, max_rows: int | None = None) -> Cursor:
         if self._closed:
             raise er.InterfaceError("the cursor is closed")
-        self._limit, self._taken = max_rows, 0
-        frame, self.rowcount = self._timed(lambda: self.db.run(sql, params), timeout_ms)
-        self.lastrowid = self.db.lastrowid
-        self._frame, self._rows = frame, None
-        self.description = None if frame is None else [(f.name, f.dataType.simpleString(), None, None, None, None, f.nullable) for f in frame.schema]
-        if frame is not None and timeout_ms is not None:
-            self._rows = iter(self._timed(frame.collect, timeout_ms))
+        self._stop_clock()
+        self._limit, self._taken, self._frame, self._rows = max_rows, 0, None, None
+        with self._clock(timeout_ms):
+            frame, self.rowcount = self.db.run(sql, params)
+            self.lastrowid = self.db.lastrowid
+            self._frame = frame
+            self.description = None if frame is None else [(f.name, f.dataType.simpleString(), None, None, None, None, f.nullable) for f in frame.schema]
+            if frame is not None and timeout_ms is not None:
+                self._rows = iter(iterate(frame))  # its jobs carry the tag; the clock runs until the last row
+        if frame is None:
+            self._stop_clock()
         return self
 
-    def _timed(self, work: Callable, timeout_ms: int | None) -> Any:
-        """Runs work whose Spark jobs are cancelled when the time is up."""
+    @contextmanager
+    def _clock(self, timeout_ms: int | None) -> Iterator[None]:
+        """Spark jobs started here, and rows fetched from them later, are cancelled when the time is up."""
         if timeout_ms is None:
-            return work()
+            yield
+            return
         sc, tag, late = self.db.spark.sparkContext, f"relspark-{uuid.uuid4().hex}", threading.Event()
 
         def stop() -> None:
@@ -75,24 +85,49 @@ class Cursor:
             sc.cancelJobsWithTag(tag)
 
         timer = threading.Timer(timeout_ms / 1000, stop)
+        timer.daemon = True
+        self._deadline = (timer, late, timeout_ms)
         sc.addJobTag(tag)
         timer.start()
         try:
-            out = work()
+            yield
+            self._in_time()
         except Exception as e:
-            if late.is_set():
-                raise er.QueryTimeoutError(f"stopped after {timeout_ms} ms") from e
+            self._in_time(e)
+            self._stop_clock()
             raise
         finally:
-            timer.cancel()
             sc.removeJobTag(tag)
-        if late.is_set():
-            raise er.QueryTimeoutError(f"stopped after {timeout_ms} ms")
-        return out
+
+    def _in_time(self, cause: Exception | None = None) -> None:
+        if self._deadline is not None and self._deadline[1].is_set():
+            timeout = self._deadline[2]
+            self._stop_clock()
+            raise er.QueryTimeoutError(f"stopped after {timeout} ms") from cause
+
+    def _stop_clock(self) -> None:
+        if self._deadline is not None:
+            self._deadline[0].cancel()
+            self._deadline = None
+
+    #: Rows of one statement that ``executemany`` makes of a plain INSERT.
+    BATCH = 5000
 
     def executemany(self, sql: str, rows: Iterable[Sequence | dict]) -> Cursor:
-        n = 0
+        """A plain INSERT ... VALUES (...) runs as one statement for many rows, any other statement row by row."""
+        n, rows = 0, iter(rows)
+        tokens = tokenize(sql)
+        while tokens and tokens[-1].text == ";":
+            tokens.pop()
+        at = next((i for i, t in enumerate(tokens) if t.low == "values"), None)
+        plain = at is not None and tokens[0].low == "insert" and tokens[at + 1 :] and tokens[at + 1].text == "(" and _close(tokens, at + 1) == len(tokens) - 1
         with self.db.lock:
+            while plain and (batch := list(islice(rows, self.BATCH))):
+                many = list(tokens[: at + 1])
+                for k, params in enumerate(batch):
+                    many += ([Token("op", ",")] if k else []) + bind(tokens[at + 1 :], params)
+                self.execute(text(many))
+                n += max(0, self.rowcount)
             for params in rows:
                 self.execute(sql, params)
                 n += max(0, self.rowcount)
@@ -116,8 +151,11 @@ class Cursor:
         except er.Error:
             raise
         except Exception as e:
+            self._in_time(e)
             raise er.translate(e) from e
+        self._in_time()
         if row is None:
+            self._stop_clock()
             return None
         self._taken += 1
         if self._limit is not None and self._taken > self._limit:
@@ -137,6 +175,7 @@ class Cursor:
         return list(self)
 
     def close(self) -> None:
+        self._stop_clock()
         self._closed, self._rows, self._frame = True, None, None
 
 

@@ -158,9 +158,10 @@ class Database(Introspection):
         return t
 
     def register(self, name: str, df: DataFrame) -> None:
-        """A table from any DataFrame: read in place until it is first changed."""
+        """A table from any DataFrame, by its plan: computed in place until it is first changed."""
         columns = tuple(Column(n, k, k.upper()) for n, k in df.dtypes)
-        same = self.spark.read.schema(df.schema).parquet(*df.inputFiles()) if df.inputFiles() else self.spark.createDataFrame(df.collect(), df.schema)
+        plan = self.spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.spark._jsparkSession, df._jdf.logicalPlan())
+        same = DataFrame(plan, self.spark)  # the same plan in this database's own session
         self.catalog = self.catalog.put("tables", name, Table(name, columns, frame=same))
 
     # ---- queries
@@ -375,7 +376,7 @@ class Database(Introspection):
             if maybe:
                 return None, 0
             if not (again and kind == "view" and name in self.catalog.views):
-                raise er.TableExistsError(name)
+                raise (er.IndexExistsError if kind == "index" else er.TableExistsError)(name)
         if kind == "view":
             r.need("as")
             self.catalog = self.catalog.put("views", name, text(r.rest()))
@@ -423,7 +424,7 @@ class Database(Introspection):
         if name not in getattr(self.catalog, part):
             if maybe:
                 return None, 0
-            raise er.NoSuchTableError(name)
+            raise (er.NoSuchIndexError if kind == "index" else er.NoSuchTableError)(name)
         self.catalog = self.catalog.drop(part, name)
         if kind in ("table", "view"):
             self.catalog = self.catalog.drop("triggers", *(k for k, t in self.catalog.triggers.items() if t.table == name)).drop("indexes", *(k for k, v in self.catalog.indexes.items() if v[0] == name))
@@ -446,12 +447,16 @@ class Database(Introspection):
             new, swap = r.name(), (lambda names: tuple(new if c == old else c for c in names))
             if t.column(old) is None:
                 raise er.NoSuchColumnError(old)
+            if t.column(new) is not None:
+                raise er.ColumnExistsError(new)
             t = replace(t, columns=tuple(replace(c, name=new) if c.name == old else c for c in t.columns), keys=tuple(map(swap, t.keys)), foreign=tuple(replace(f, columns=swap(f.columns)) for f in t.foreign))
             raw = raw.withColumnRenamed(old, new)
         elif r.take("add"):
             r.take("column")
             got = parse_table(name, r.rest(), False, "")
             col = got.columns[0]
+            if t.column(col.name) is not None:
+                raise er.ColumnExistsError(col.name)
             raw = self._eval(raw, name, col.default or "NULL", col.name, col.type) if not col.generated else raw if not col.stored else self._eval(raw, name, col.generated, col.name, col.type)
             t = replace(t, columns=(*t.columns, col), foreign=(*t.foreign, *got.foreign))
         elif r.take("drop"):
@@ -485,19 +490,19 @@ class Database(Introspection):
 
     def _verify(self, t: Table, new: DataFrame) -> None:
         """NOT NULL, lengths and CHECK of new rows in one pass; then foreign keys of the child side."""
-        tests: list[tuple[str, Any]] = []
+        tests: list[tuple[type, str, Any]] = []
         for c in t.columns:
             if c.not_null or c.primary:
-                tests.append((f"NOT NULL constraint failed: {t.name}.{c.name}", F.col(quote(c.name)).isNull()))
+                tests.append((er.NotNullError, f"NOT NULL constraint failed: {t.name}.{c.name}", F.col(quote(c.name)).isNull()))
             if c.limit is not None:
-                tests.append((f"{t.name}.{c.name} holds at most {c.limit} bytes", F.octet_length(F.col(quote(c.name))) > c.limit))
+                tests.append((er.DataError, f"{t.name}.{c.name} holds at most {c.limit} bytes", F.octet_length(F.col(quote(c.name))) > c.limit))
         for check in [*(c.check for c in t.columns if c.check), *t.checks]:
-            tests.append((f"CHECK constraint failed: {t.name}: {check}", ~F.expr(rewrite(check))))
+            tests.append((er.CheckError, f"CHECK constraint failed: {t.name}: {check}", ~F.expr(rewrite(check))))
         if tests:
-            got = new.agg(*(F.max(F.coalesce(x, F.lit(False))).alias(f"x{i}") for i, (_, x) in enumerate(tests))).first()
-            for i, (said, _) in enumerate(tests):
+            got = new.agg(*(F.max(F.coalesce(x, F.lit(False))).alias(f"x{i}") for i, (_, _, x) in enumerate(tests))).first()
+            for i, (kind, said, _) in enumerate(tests):
                 if got[i]:
-                    raise (er.DataError if "at most" in said else er.ConstraintError)(said)
+                    raise kind(said)
         if self.foreign_keys:
             for f in t.foreign:
                 ref = self.frame(f.table).select(*(F.col(quote(c)).alias(f"_r{i}") for i, c in enumerate(f.ref))) if f.table != t.name else None
@@ -551,9 +556,10 @@ class Database(Introspection):
             if len(src.columns) != len(cols):
                 raise er.ProgrammingError(f"{len(src.columns)} values for {len(cols)} columns")
         update: list[tuple[str, str]] = []
+        target: tuple[str, ...] = ()
         if r.take("on", "conflict"):
             if r.peek("("):
-                r.names()
+                target = tuple(r.names())
             r.need("do")
             if r.take("nothing"):
                 mode = "IGNORE"
@@ -566,7 +572,7 @@ class Database(Introspection):
         t = replace(t, next_id=max(t.next_id, (new.agg(F.max(ROWID)).first()[0] or 0) + 1))
         self.catalog = self.catalog.put("tables", name, t)
         self._fire("BEFORE", "INSERT", name, None, new)
-        done = self._store_new(t, new, mode, update)
+        done = self._store_new(t, new, mode, update, target)
         last = done.agg(F.count("*"), F.max(ROWID)).first()
         if last[0]:
             auto = t.auto_column
@@ -634,7 +640,7 @@ class Database(Introspection):
         df = df.join(F.broadcast(self.spark.createDataFrame(base, "_part bigint, _base bigint")), "_part")
         return df, F.row_number().over(Window.partitionBy("_part").orderBy("_pos")).cast("long") + F.col("_base")
 
-    def _store_new(self, t: Table, new: DataFrame, mode: str, update: list[tuple[str, str]]) -> DataFrame:
+    def _store_new(self, t: Table, new: DataFrame, mode: str, update: list[tuple[str, str]], target: tuple[str, ...] = ()) -> DataFrame:
         """Adds settled rows under a conflict rule; returns the rows that were added or changed."""
         keys, old = t.unique, self._raw(t)
         if mode == "IGNORE":
@@ -667,7 +673,7 @@ class Database(Introspection):
             new = self.spark.read.schema(new.schema).parquet(self._write(new, t.name))
             t = replace(t, files=(self._write(old, t.name),))
         elif mode == "UPDATE":
-            return self._upsert(t, new, update)
+            return self._upsert(t, new, update, target)
         elif keys:
             both = old.unionByName(new)
             for key in keys:
@@ -677,25 +683,41 @@ class Database(Introspection):
         self.catalog = self.catalog.put("tables", t.name, replace(t, files=(*t.files, *_folders(new))))
         return new
 
-    def _upsert(self, t: Table, new: DataFrame, update: list[tuple[str, str]]) -> DataFrame:
-        key = list(t.unique[0]) if t.unique else []
-        if not key:
+    def _upsert(self, t: Table, new: DataFrame, update: list[tuple[str, str]], target: tuple[str, ...]) -> DataFrame:
+        """ON CONFLICT DO UPDATE on the target key (by default the first one). Rows of the statement that share a key are
+        taken one after another, in rounds; a row without a whole key conflicts with none; all other keys are verified."""
+        key = next((list(k) for k in t.unique if not target or set(k) == set(target)), None)
+        if key is None:
+            if target:
+                raise er.ProgrammingError(f"ON CONFLICT ({', '.join(target)}) names no key of {t.name}")
             return self._store_new(t, new, "ABORT", [])
-        last = Window.partitionBy(*map(quote, key)).orderBy(F.desc(ROWID))
-        one = new.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
-        old = self._raw(t)
-        fresh = one.join(old.select(*map(quote, key)), key, "left_anti").select(new.columns)
-        fresh = self.spark.read.schema(new.schema).parquet(self._write(fresh, t.name))
-        pairs = old.join(one.select(*(F.col(quote(k)) for k in key), F.struct(*map(quote, new.columns)).alias("excluded")), key)
-        changed = pairs
-        for c, expr in update:
-            changed = self._eval(changed, t.name, expr, c, t.column(c).type)
-        changed = changed.select(new.columns)
-        changed = self.spark.read.schema(new.schema).parquet(self._write(changed, t.name))
-        rest = old.join(changed.select(ROWID), ROWID, "left_anti").select(old.columns)
-        self._verify(t, fresh.unionByName(changed))
-        self.catalog = self.catalog.put("tables", t.name, replace(t, files=(self._write(rest, t.name), *_folders(changed), *_folders(fresh))))
-        return fresh.unionByName(changed)
+        free = F.lit(False)
+        for c in key:
+            free = free | F.col(quote(c)).isNull()
+        nth = F.when(free, F.lit(1)).otherwise(F.row_number().over(Window.partitionBy(*map(quote, key)).orderBy(ROWID)))
+        numbered = new.withColumn("_n", nth)
+        rounds = numbered.agg(F.max("_n")).first()[0] or 0
+        if rounds > 1:
+            numbered = self.spark.read.schema(numbered.schema).parquet(self._write(numbered, t.name))
+        touched: DataFrame | None = None
+        for k in range(1, rounds + 1):
+            one, old = numbered.where(F.col("_n") == k).drop("_n"), self._raw(t)
+            fresh = one.join(old.select(*map(quote, key)), key, "left_anti").select(new.columns)  # null keys never match
+            fresh = self.spark.read.schema(new.schema).parquet(self._write(fresh, t.name))
+            changed = old.join(one.select(*(F.col(quote(c)) for c in key), F.struct(*map(quote, new.columns)).alias("excluded")), key)
+            for c, expr in update:
+                changed = self._eval(changed, t.name, expr, c, t.column(c).type)
+            changed = changed.select(new.columns)
+            changed = self.spark.read.schema(new.schema).parquet(self._write(changed, t.name))
+            rest = old.join(changed.select(ROWID), ROWID, "left_anti").select(old.columns)
+            both = fresh.unionByName(changed)
+            self._verify(t, both)
+            t = replace(t, files=(self._write(rest, t.name), *_folders(changed), *_folders(fresh)))
+            self.catalog = self.catalog.put("tables", t.name, t)
+            touched = both if touched is None else touched.join(both.select(ROWID), ROWID, "left_anti").select(new.columns).unionByName(both)
+        if len(t.unique) > 1 or {c for c, _ in update} & set(key):
+            self._no_doubles(t, self._raw(t), list(t.unique))
+        return new.limit(0) if touched is None else touched
 
     def _returning(self, name: str, rows: DataFrame, items: list[Token] | None) -> DataFrame | None:
         if items is None:

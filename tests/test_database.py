@@ -205,3 +205,63 @@ def test_stream_and_table_agree(spark, tmp_path):
     key = lambda r: (r.start, r.event_type)
     got, want = sorted(spark.table("windows").collect(), key=key), sorted(deliver(windowed(events, "1 hour")), key=key)
     assert [(key(r), r.n, round(r.total, 6)) for r in got] == [(key(r), r.n, round(r.total, 6)) for r in want]
+
+
+def test_registered_frames_keep_their_plan(db, spark):
+    import pyspark.sql.functions as F
+
+    db.register("odd", spark.read.parquet("/root/testdata/sf0.001/nation.parquet").where("n_nationkey % 2 = 1").select((F.col("n_nationkey") + 1).alias("k")))
+    db.register("gen", spark.range(5).withColumn("sq", F.col("id") * F.col("id")))
+    assert rows(db, "SELECT COUNT(*), MIN(k) FROM odd") == [(12, 2)]
+    assert sorted(rows(db, "SELECT sq FROM gen JOIN odd ON gen.id = odd.k")) == [(4,), (16,)]
+    db.execute("DELETE FROM odd WHERE k > 4")
+    assert sorted(rows(db, "SELECT k FROM odd")) == [(2,), (4,)]
+
+
+def test_endless_recursion_is_an_error(db, spark, monkeypatch):
+    from relspark.operators import recursive
+
+    monkeypatch.setattr(recursive, "ROUNDS", 5)
+    chain = "WITH RECURSIVE r(n) AS (SELECT 0 UNION SELECT n + 1 FROM r WHERE n < {}) SELECT COUNT(*) FROM r"
+    assert rows(db, chain.format(5)) == [(6,)]
+    with pytest.raises(er.OperationalError):
+        db.execute(chain.format(20))
+
+
+def test_time_limit(db):
+    db.create_function("slow", 1, lambda x: __import__("time").sleep(0.2) or x)
+    assert len(db.execute("SELECT id FROM range(3)", timeout_ms=60_000).fetchall()) == 3
+    with pytest.raises(er.QueryTimeoutError):
+        db.execute("SELECT slow(id) FROM range(200)", timeout_ms=1500).fetchall()
+    assert rows(db, "SELECT 1") == [(1,)]
+
+
+def test_executemany_in_batches(db):
+    db.execute("CREATE TABLE t (k INTEGER PRIMARY KEY, v TEXT)")
+    cur = db.cursor()
+    cur.BATCH = 7
+    assert cur.executemany("INSERT INTO t (v) VALUES (?);", ((f"v{i}",) for i in range(20))).rowcount == 20
+    assert len(db.catalog.tables["t"].files) == 3 and rows(db, "SELECT COUNT(DISTINCT k), MAX(k) FROM t") == [(20, 20)]
+    assert cur.executemany("INSERT INTO t VALUES (:k, :v)", [{"k": 50, "v": "a"}, {"k": 51, "v": None}]).rowcount == 2
+    assert cur.executemany("UPDATE t SET v = ? WHERE k = ?", [("x", 50), ("y", 51), ("z", 52)]).rowcount == 2
+    with pytest.raises(er.UniqueConstraintError):
+        cur.executemany("INSERT INTO t VALUES (?, ?)", [(60, "a"), (1, "b")])
+    assert rows(db, "SELECT COUNT(*) FROM t") == [(22,)]
+    assert cur.executemany("INSERT INTO t VALUES (?, ?)", []).rowcount == 0
+
+
+def test_upsert_targets_and_other_keys(db):
+    db.executescript("CREATE TABLE t (id INTEGER PRIMARY KEY, u TEXT UNIQUE, n INTEGER); INSERT INTO t VALUES (1, 'a', 1), (2, 'b', 1)")
+    db.execute("INSERT INTO t VALUES (9, 'b', 5), (10, 'b', 7) ON CONFLICT (u) DO UPDATE SET n = n * 10 + excluded.n")
+    assert rows(db, "SELECT id, u, n FROM t ORDER BY id") == [(1, "a", 1), (2, "b", 157)]
+    with pytest.raises(er.UniqueConstraintError):
+        db.execute("INSERT INTO t VALUES (1, 'b', 0) ON CONFLICT (id) DO UPDATE SET u = excluded.u")
+    with pytest.raises(er.ProgrammingError):
+        db.execute("INSERT INTO t VALUES (1, 'b', 0) ON CONFLICT (n) DO UPDATE SET u = 'q'")
+    assert db.execute("INSERT INTO t VALUES (5, NULL, 0), (6, NULL, 0) ON CONFLICT (u) DO UPDATE SET n = 9").rowcount == 2
+    assert rows(db, "SELECT COUNT(*) FROM t WHERE u IS NULL AND n = 0") == [(2,)]
+
+
+def test_group_frames_with_offsets_are_refused(db):
+    with pytest.raises(er.ParseError):
+        db.execute("SELECT SUM(id) OVER (ORDER BY id GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) FROM range(3)")
