@@ -27,7 +27,7 @@ LINE_LIMIT, LINE_CHAR_LIMIT = 0.30, 0.20
 #: Base rule: fewer words than this, or a larger percentage of words in repeated 5-word windows, fails.
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 
-_COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "dup_line_chars", "n_repeat_words")
+_BASE, _MORE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), ("n_lines", "dup_line_chars")
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -88,7 +88,7 @@ def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     limits = dict(NGRAM_LIMITS if limits is None else limits)
     lengths = tuple(sorted(limits))
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
-    names = [*_COUNTS, *(f"dup_{n}" for n in sorted({5, *lengths}))]
+    more = [*_MORE, *(f"dup_{n}" for n in sorted({5, *lengths}))]
     id_type = src.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,8 +101,8 @@ def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 good = (m["n_dup_lines"] <= LINE_LIMIT * m["n_lines"]) & (m["dup_line_chars"] <= LINE_CHAR_LIMIT * total)
                 for n, most in limits.items():
                     good &= m[f"dup_{n}"] <= most * total
-                cols = [b.column(0).slice(i, j - i), *(pa.array(m[k].astype(np.int64)) for k in names), pa.array(failed), pa.array(good & ~failed)]
-                yield pa.RecordBatch.from_arrays(cols, names=[id_col, *names, "base_failed", "kept"])
+                base, rest = ([pa.array(m[k].astype(np.int64)) for k in names] for names in (_BASE, more))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *base, pa.array(failed), pa.array(good & ~failed), *rest], names=[id_col, *_BASE, "base_failed", "kept", *more])
 
-    schema = f"`{id_col}` {id_type}, " + ", ".join(f"{k} long" for k in names) + ", base_failed boolean, kept boolean"
+    schema = f"`{id_col}` {id_type}, " + ", ".join(f"{k} long" for k in _BASE) + ", base_failed boolean, kept boolean, " + ", ".join(f"{k} long" for k in more)
     return src.mapInArrow(run, schema)
