@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_made: set[str] = set()
 
 
 def root(spark: SparkSession) -> str:
@@ -25,8 +26,21 @@ def root(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
+def _session_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder, which goes when the application ends."""
+    uri = f"{root(spark)}/relspark/{spark.sparkContext.applicationId}"
+    if uri not in _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _made.add(uri)
+    return uri
+
+
 def fresh(spark: SparkSession, name: str) -> str:
-    return f"{root(spark)}/relspark/{name}-{uuid.uuid4().hex[:12]}"
+    """The URI of a new folder in the shared folder (not made yet)."""
+    return f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
