@@ -16,20 +16,41 @@ rows each get a slot; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store
+from . import textcore as tc
 from .exchange import partitions
 
 #: Buckets that pool small groups, and the least share of a shard that makes a group an item of its own.
 BUCKETS, OWN_SHARE = 4096, 1e-3
 #: Pieces that a group is measured in, for the case that it must be split.
 GRAINS = 1024
-#: A token: a character of a script without blanks (Thai, Lao, Burmese, Khmer, kana, Han), or a run of others.
-_ALONE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF"
-TOKEN = rf"[{_ALONE}]|[^\x20\x09-\x0D{_ALONE}]+"
+
+
+def tokens_of(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Words of each document; a character of a script without blanks (Thai, Lao, Burmese, Khmer, kana, Han) is one by itself."""
+    word = ~((buf == 32) | ((buf >= 9) & (buf <= 13)))
+    begins = word.copy()
+    begins[1:] &= ~word[:-1]
+    begins[offs[:-1][np.diff(offs) > 0]] |= word[offs[:-1][np.diff(offs) > 0]]
+    high = np.flatnonzero(buf >= 0xE0)
+    if len(high):  # their characters have three bytes, the first two of which tell the script
+        a, b = buf[high], buf[np.minimum(high + 1, len(buf) - 1)]
+        alone = (a == 0xE0) & (b >= 0xB8) & (b <= 0xBB) | (a == 0xE1) & ((b <= 0x81) | (b == 0x9E) | (b == 0x9F))
+        alone |= (a == 0xE3) & (b >= 0x81) & ((b <= 0x83) | (b >= 0x90)) | (a >= 0xE4) & (a <= 0xE9) | (a == 0xEF) & (b >= 0xA4) & (b <= 0xAB)
+        at = high[alone]
+        begins[at] = True
+        after = at + 3
+        after = after[after < len(buf)]
+        begins[after] |= word[after]  # what follows them begins anew
+    total = np.concatenate([[0], np.cumsum(begins)])
+    return np.diff(total[offs])
 
 
 def place(items: np.ndarray, shards: int) -> np.ndarray:
@@ -52,13 +73,23 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     rows = docs.select(
         F.col(id_col).alias("_id"),
         (F.octet_length(known) + 1).cast("long").alias("size"),
-        F.regexp_count(known, F.lit(TOKEN)).cast("long").alias("tokens"),
         F.crc32(known).alias("text_crc32"),
         F.xxhash64(text, text.isNull()).alias("h"),
         F.xxhash64(F.lit(7), text).alias("h2"),
         F.pmod(F.xxhash64(F.lit(3), F.monotonically_increasing_id()), F.lit(GRAINS)).cast("int").alias("grain"),  # settled below
+        known.alias("_t"),
     )
-    rows = store.settle(rows, "shard-rows")  # without the texts
+    names = rows.columns[:-1]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            buf, offs = tc.text_buffers(b.column("_t"))
+            for i, j in tc.slices(offs):
+                tokens = tokens_of(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in names), pa.array(tokens, pa.int64())], names=[*names, "tokens"])
+
+    kind = rows.schema["_id"].dataType.simpleString()
+    rows = store.settle(rows.mapInArrow(count, f"_id {kind}, size long, text_crc32 long, h long, h2 long, grain int, tokens long"), "shard-rows")  # without the texts
     sums = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")]
     total = rows.agg(*sums).first()
     if not total.n:
