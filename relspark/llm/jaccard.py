@@ -178,6 +178,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, n
         for i, j in tc.slices(offs):
             g, at = shingles(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             yield b.slice(i, j - i), g, at, set_ids(g, at)
+    tc.release()
 
 
 def _info(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

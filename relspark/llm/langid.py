@@ -11,8 +11,8 @@ cut in segments that are all walked at once, each from the automaton's root. Whe
 segment before ended in another state, the walk is repeated from that state until it meets
 the first one, which takes some phrases only. The result is that of one walk over the whole text.
 
-Languages are learned in blocks of bounded size, each a file in the shared folder, and every
-label is learned. The sample of labelled rows is bounded by ``SAMPLE_DOCS`` whole documents and
+Languages are learned in blocks of bounded size, each a flat file in the shared folder (mapped into
+memory where it can be, so that the workers of a machine share it), and every label is learned. The sample of labelled rows is bounded by ``SAMPLE_DOCS`` whole documents and
 ``SAMPLE_BYTES`` of text a language; documents larger than that are drawn only
 where a language has no other (then a short one is).
 
@@ -42,8 +42,8 @@ from . import textcore as tc
 UNKNOWN = "und"
 #: Bounds of the labelled sample: whole documents, and bytes of text, a language.
 SAMPLE_DOCS, SAMPLE_BYTES = 100, 48_000
-#: Languages in a block, blocks that a worker keeps, bytes of a segment, and bytes of text parsed at once.
-BLOCK_LANGUAGES, KEPT, SEGMENT, AT_ONCE = 16, 2, 256, 2 << 20
+#: Languages in a block, blocks that a task keeps, bytes of a segment, and bytes of text parsed at once.
+BLOCK_LANGUAGES, KEPT, SEGMENT, AT_ONCE = 16, 2, 256, 1 << 20
 
 #: Code points below this are looked up; above it stand ideographs, which have no case.
 _LOOKED_UP = 0x20000
@@ -242,7 +242,9 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[str]
     names = sorted(texts)
     for i in range(0, len(names), BLOCK_LANGUAGES):
         out.append(store.fresh(spark, "languages"))
-        store.put(out[-1], [pickle.dumps([automaton(n, texts[n]) for n in names[i : i + BLOCK_LANGUAGES]], protocol=5)])
+        block = [automaton(n, texts[n]) for n in names[i : i + BLOCK_LANGUAGES]]
+        store.put(f"{out[-1]}/steps", [a.step.astype("<i4").tobytes() for a in block])
+        store.put(f"{out[-1]}/names", [pickle.dumps([(a.language, a.code, len(a.step), a.bits) for a in block])])
     return out
 
 
@@ -253,7 +255,11 @@ def _models(uri: str) -> list[Automaton]:
     if uri not in _MODELS:
         while len(_MODELS) >= KEPT:
             _MODELS.pop(next(iter(_MODELS)))
-        _MODELS[uri] = pickle.loads(store.array(uri, "u1").tobytes())
+        steps, block, at = np.asarray(store.array(f"{uri}/steps", "<i4")), [], 0
+        for language, code, size, bits in pickle.loads(store.array(f"{uri}/names", "u1").tobytes()):
+            block.append(Automaton(language, code, steps[at : at + size], bits))
+            at += size
+        _MODELS[uri] = block
     return _MODELS[uri]
 
 
@@ -279,10 +285,14 @@ def judge(uris: list[str], buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarra
 
 
 def _judged(uris: list[str], batches: Iterator[pa.RecordBatch], col: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    for b in batches:
-        buf, offs = tc.text_buffers(b.column(col))
-        for i, j in tc.slices(offs, AT_ONCE):
-            yield b.slice(i, j - i), *judge(uris, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+    try:
+        for b in batches:
+            buf, offs = tc.text_buffers(b.column(col))
+            for i, j in tc.slices(offs, AT_ONCE):
+                yield b.slice(i, j - i), *judge(uris, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+    finally:
+        _MODELS.clear()  # the worker lives on, for tasks of other stages
+        tc.release()
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

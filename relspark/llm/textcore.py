@@ -8,6 +8,7 @@ word. The white space set is ASCII, hence byte-wise scanning of UTF-8 is exact.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,14 @@ _MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=U)
 SLICE_BYTES = 4 << 20
 
 
+def release() -> None:
+    """Gives memory that was freed back to the machine: a worker outlives its task, and its allocators keep what they had."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> U(30))
