@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import asdict, replace
 from typing import Any
+from urllib.parse import unquote as unquote_uri
 
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -143,6 +144,31 @@ class Database(Introspection):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*t.files)
 
+    def _without(self, t: Table, gone: DataFrame) -> Table:
+        """``t`` without the rows whose ids are in ``gone`` (settled): files that hold none of them stay as they are.
+
+        The search reads row ids only; what is collected are names of files, of which the catalog holds a list anyway.
+        """
+        raw = self._raw(t)
+        files = [unquote_uri(f) for f in raw.inputFiles()]
+        if len(files) > 1:
+            hit = raw.select(ROWID, F.col("_metadata.file_path").alias("_file")).join(gone.select(ROWID), ROWID, "left_semi").select("_file").distinct()
+            touched = {_leaf(unquote_uri(f)) for (f,) in hit.collect()}
+        else:
+            touched = {_leaf(f) for f in files}
+        if not touched:
+            return t
+        folders: dict[str, list[str]] = {}
+        for f in files:
+            folders.setdefault(_leaf(f)[0], []).append(f)
+        kept: list[str] = []
+        for e in t.files:  # a whole folder, or a file of one
+            own = folders.get(_leaf(e)[1], [e])
+            kept += [f for f in own if _leaf(f) not in touched] if any(_leaf(f) in touched for f in own) else [e]
+        old = self.spark.read.schema(raw.schema).parquet(*(f for f in files if _leaf(f) in touched))
+        rest = old.join(gone.select(ROWID), ROWID, "left_anti").select(raw.columns)
+        return replace(t, files=(*kept, self._write(rest, t.name)))
+
     def frame(self, name: str, rowid: bool = False) -> DataFrame:
         t = self._table(name)
         df = self._raw(t)
@@ -663,15 +689,17 @@ class Database(Introspection):
             new = new.where(good)
             new = self.spark.read.schema(new.schema).parquet(self._write(new, t.name))
         elif mode == "REPLACE" and keys:
+            gone = old.select(ROWID).limit(0)
             for key in keys:
                 w = Window.partitionBy(*map(quote, key)).orderBy(F.desc(ROWID))
                 known = F.lit(False)
                 for c in key:
                     known = known | F.col(quote(c)).isNull()
                 new = new.withColumn("_n", F.row_number().over(w)).where(known | (F.col("_n") == 1)).drop("_n")
-                old = old.join(new.select(*map(quote, key)), list(key), "left_anti").select(old.columns)
+                gone = gone.union(old.join(new.select(*map(quote, key)), list(key), "left_semi").select(ROWID))
             new = self.spark.read.schema(new.schema).parquet(self._write(new, t.name))
-            t = replace(t, files=(self._write(old, t.name),))
+            gone = self.spark.read.schema(gone.schema).parquet(self._write(gone, "match"))
+            t = self._without(t, gone) if t.files else t
         elif mode == "UPDATE":
             return self._upsert(t, new, update, target)
         elif keys:
@@ -709,10 +737,10 @@ class Database(Introspection):
                 changed = self._eval(changed, t.name, expr, c, t.column(c).type)
             changed = changed.select(new.columns)
             changed = self.spark.read.schema(new.schema).parquet(self._write(changed, t.name))
-            rest = old.join(changed.select(ROWID), ROWID, "left_anti").select(old.columns)
             both = fresh.unionByName(changed)
             self._verify(t, both)
-            t = replace(t, files=(self._write(rest, t.name), *_folders(changed), *_folders(fresh)))
+            t = self._without(t, changed) if t.files else t
+            t = replace(t, files=(*t.files, *_folders(changed), *_folders(fresh)))
             self.catalog = self.catalog.put("tables", t.name, t)
             touched = both if touched is None else touched.join(both.select(ROWID), ROWID, "left_anti").select(new.columns).unionByName(both)
         if len(t.unique) > 1 or {c for c, _ in update} & set(key):
@@ -775,9 +803,9 @@ class Database(Introspection):
         changed = tuple(c for c, _ in sets)
         self._fire("BEFORE", "UPDATE", name, old, new, changed)
         t = self._table(name)
-        rest = self._raw(t).join(new.select(ROWID), ROWID, "left_anti").select(*(quote(c.name) for c in t.stored), ROWID)
-        done = replace(t, files=(self._write(rest, name), *_folders(new)))
         self._verify(t, new)
+        done = self._without(t, new) if t.files else t
+        done = replace(done, files=(*done.files, *_folders(new)))
         self.catalog = self.catalog.put("tables", name, done)
         self._no_doubles(t, self._raw(done), [k for k in t.unique if set(k) & set(changed)])
         self._referential(name, old, new, changed)
@@ -799,8 +827,7 @@ class Database(Introspection):
         if n:
             self._fire("BEFORE", "DELETE", name, old, None)
             t = self._table(name)
-            rest = self._raw(t).join(old.select(ROWID), ROWID, "left_anti").select(*(quote(c.name) for c in t.stored), ROWID)
-            self.catalog = self.catalog.put("tables", name, replace(t, files=(self._write(rest, name),)))
+            self.catalog = self.catalog.put("tables", name, self._without(t, old) if t.files else t)
             self._referential(name, old, None, ())
             self._fire("AFTER", "DELETE", name, old, None)
         return self._returning(name, old, returning), n
@@ -836,15 +863,12 @@ class Database(Introspection):
                     continue
                 if action in ("RESTRICT", "NO ACTION"):
                     raise er.ForeignKeyError(f"FOREIGN KEY constraint failed: {child.name} refers to {name}")
-                rest = raw.join(hit.select(ROWID), ROWID, "left_anti").select(raw.columns)
-                parts = [rest]
+                child = self._without(child, hit)
                 if action == "SET NULL" or new is not None:
                     kinds = {c.name: c.type for c in child.columns}
                     moved = hit.withColumns({c: F.lit(None).cast(kinds[c]) if action == "SET NULL" else F.col(f"_n{i}") for i, c in enumerate(f.columns)}).select(raw.columns)
                     self._verify(replace(child, foreign=()), moved)
-                    parts.append(moved)
-                out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-                child = replace(child, files=(self._write(out, child.name),))
+                    child = replace(child, files=(*child.files, self._write(moved, child.name)))
                 self.catalog = self.catalog.put("tables", child.name, child)
                 if action == "CASCADE" and new is None:
                     self._referential(child.name, hit, None, ())
@@ -1047,9 +1071,15 @@ def _spark_literal(v: Any) -> str:
     return literal(v) if isinstance(v, str) else sql_value(v)
 
 
+def _leaf(path: str) -> tuple[str, str]:
+    """Folder and name of a file: folders of tables have unique names, however the path before them is spelt."""
+    parts = path.rstrip("/").rsplit("/", 2)
+    return parts[-2], parts[-1]
+
+
 def _folders(df: DataFrame) -> tuple[str, ...]:
     """The Parquet folders that a settled DataFrame reads."""
-    return tuple(dict.fromkeys(f.rsplit("/", 1)[0] for f in df.inputFiles()))
+    return tuple(dict.fromkeys(unquote_uri(f).rsplit("/", 1)[0] for f in df.inputFiles()))
 
 
 def iterate(df: DataFrame) -> Iterator[Row]:

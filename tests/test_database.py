@@ -265,3 +265,34 @@ def test_upsert_targets_and_other_keys(db):
 def test_group_frames_with_offsets_are_refused(db):
     with pytest.raises(er.ParseError):
         db.execute("SELECT SUM(id) OVER (ORDER BY id GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) FROM range(3)")
+
+
+def test_changes_rewrite_only_the_files_they_touch(db, spark):
+    db.execute('CREATE TABLE "a b" (k INTEGER PRIMARY KEY, u TEXT UNIQUE, n INTEGER)')
+    for part in range(3):
+        db.execute('INSERT INTO "a b" VALUES ' + ", ".join(f"({part * 10 + i}, 'u{part * 10 + i}', 0)" for i in range(4)))
+    first = db.catalog.tables["a b"].files
+    assert db.execute('UPDATE "a b" SET n = 1 WHERE k = 11').rowcount == 1
+    second = db.catalog.tables["a b"].files
+    kept = {f.rsplit("/", 2)[-2] if f.endswith(".parquet") else f.rsplit("/", 1)[-1] for f in second}
+    assert first[0] in second and first[2] in second and first[0].rsplit("/", 1)[-1] in kept and rows(db, 'SELECT COUNT(*), SUM(n) FROM "a b"') == [(12, 1)]
+    assert db.execute('DELETE FROM "a b" WHERE k < 4').rowcount == 4
+    assert first[0] not in db.catalog.tables["a b"].files and first[2] in db.catalog.tables["a b"].files
+    assert db.execute("INSERT OR REPLACE INTO \"a b\" VALUES (10, 'u12', 7)").rowcount == 1
+    assert rows(db, 'SELECT k, u, n FROM "a b" WHERE k < 20 ORDER BY k') == [(10, "u12", 7), (11, "u11", 1), (13, "u13", 0)]
+    assert first[2] in db.catalog.tables["a b"].files
+    assert db.execute("INSERT INTO \"a b\" VALUES (13, 'x', 5) ON CONFLICT (k) DO UPDATE SET n = excluded.n").rowcount == 1
+    assert rows(db, 'SELECT COUNT(*), SUM(n), COUNT(DISTINCT k) FROM "a b"') == [(7, 13, 7)]
+    assert db.execute('DELETE FROM "a b"').rowcount == 7 and rows(db, 'SELECT COUNT(*) FROM "a b"') == [(0,)]
+    assert db.execute("INSERT INTO \"a b\" VALUES (1, 'x', 5)").rowcount == 1 and rows(db, 'SELECT k FROM "a b"') == [(1,)]
+
+
+def test_a_folder_of_many_files_is_split(db, spark):
+    db.register("many", spark.range(100, numPartitions=5).selectExpr("id AS k", "0L AS n"))
+    db.execute("UPDATE many SET n = 1 WHERE k = 50")
+    db.execute("UPDATE many SET n = 2 WHERE k = 99")
+    files = db.catalog.tables["many"].files
+    assert sum(f.endswith(".parquet") for f in files) >= 3 and len(set(files)) == len(files)
+    assert rows(db, "SELECT COUNT(DISTINCT k), COUNT(*), SUM(n) FROM many") == [(100, 100, 3)]
+    db.execute("VACUUM")
+    assert len(db.catalog.tables["many"].files) == 1 and rows(db, "SELECT COUNT(*), SUM(n) FROM many") == [(100, 3)]
